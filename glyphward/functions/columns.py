@@ -72,7 +72,7 @@ def find_all(text: Column, pattern: str, etype: str, score: float, order: int, c
 
 
 def luhn_ok(value: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(value, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
 
 
 def detect(text: Column, site: rules.Site = rules.Site(), types: tuple[str, ...] | None = None, threshold: float = 0.5) -> Column:
