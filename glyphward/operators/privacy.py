@@ -37,7 +37,8 @@ def routing_action(tier: Column, level: Column) -> Column:
 def redact(df: DataFrame, text: str = "text", site: rules.Site = rules.Site(), types: tuple[str, ...] | None = None) -> DataFrame:
     """Adds spans (deduplicated), mapping, redacted, entity_count and redaction_applied."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("spans", C.dedup(C.detect(t, site, types))).withColumn("mapping", C.mapping(F.col("spans")))
+    # Each step refers to the column before it, so that no span is searched for twice.
+    out = df.withColumn("_raw", C.detect(t, site, types)).withColumn("spans", C.dedup(F.col("_raw"))).drop("_raw").withColumn("mapping", C.mapping(F.col("spans")))
     return out.withColumns({"redacted": C.redact(F.coalesce(F.col(text), F.lit("")), F.col("mapping")), "entity_count": F.size("spans"), "redaction_applied": F.size("spans") > 0})
 
 
