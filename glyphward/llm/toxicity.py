@@ -9,7 +9,8 @@ and when the part under max() turns negative the step is reversed for it alone
 (Kiryo et al. 2017). The prior is a parameter or the share of label 1 in the
 training labels. Training uses bounded samples: about MAX_POSITIVE toxic and
 MAX_UNLABELLED unlabelled documents, chosen by hash (documented bounds); scoring
-covers every word of every text. The driver holds the samples' distinct words only.
+covers every word of every text. The driver holds the distinct words of the positive
+sample, and of the unlabelled one just which of their frequent words each text has.
 
 Cases: null and empty texts get the score of the bias alone; documents without
 label are scored too; null labels and null ids are not learned from; several labels
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,17 +55,16 @@ def distinct_words(text: str | None) -> set[str]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = [" ".join(sorted(distinct_words(t))) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(bags, pa.string())], names=["positive", "bag"])
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(distinct_words(t))) for t in b.column(0).to_pylist()], pa.string())], names=["bag"])
 
 
-def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], float]:
-    """Word bags of the sampled positive and unlabelled documents, and the prior."""
+def samples(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame | None, float]:
+    """Word bags of the sampled positive texts (equal texts once), the sampled unlabelled texts, and the prior."""
     mine = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     mine = mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_pos = mine.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     if not n_pos:
-        return [], [], 0.0
+        return [], None, 0.0
     span = 1 << 30
 
     def sampled(seed: str, share: float, *cols):
@@ -71,32 +72,40 @@ def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[s
 
     known = mine.filter((F.col("toxic") == 1) & sampled("p", MAX_POSITIVE / n_pos, "doc_id")).select(F.col("doc_id").alias("__gw_id"))
     d = docs.select("doc_id", "text")
-    pos = d.join(F.broadcast(known), F.col("doc_id") == F.col("__gw_id")).select("text", F.lit(True).alias("positive"))
-    unl = d.filter(~held_out(F.col("doc_id")) & sampled("u", MAX_UNLABELLED / max(1, docs.count()), "doc_id", "text")).select("text", F.lit(False).alias("positive"))
-    rows = pos.unionByName(unl).mapInArrow(_bags, "positive boolean, bag string").collect()
-    return [r.bag for r in rows if r.positive], [r.bag for r in rows if not r.positive], n_pos / n
+    pos = d.join(F.broadcast(known), F.col("doc_id") == F.col("__gw_id")).select("text").mapInArrow(_bags, "bag string").distinct().collect()
+    unl = d.filter(~held_out(F.col("doc_id")) & sampled("u", MAX_UNLABELLED / max(1, docs.count()), "doc_id", "text")).select("text")
+    return sorted(r.bag for r in pos), unl, n_pos / n
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float) -> tuple[dict[str, float], float]:
-    """Weights by word and the bias. Equal positive texts count once, so that a group of copies is no evidence."""
-    positive = sorted(set(positive))
-    if not positive or not unlabelled:
-        return {}, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    bags = [x.split(" ") if x else [] for x in [*positive, *unlabelled]]
+def indices(texts: DataFrame, candidates: list[str]) -> list[np.ndarray]:
+    """Of each text, the places of its words among the candidates; only these come to the driver."""
+    shared = texts.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: k for k, w in enumerate(shared.value)}
+        for b in batches:
+            found = [np.array(sorted(place[w] for w in distinct_words(t) & place.keys()), np.int32).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["at"])
+
+    return [np.frombuffer(r.at, np.int32) for r in texts.mapInArrow(run, "at binary").collect()]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], candidates: list[str], prior: float) -> tuple[dict[str, float], float]:
+    """Weights by word and the bias, from the candidates' places in each text."""
     n_pos, n_unl = len(positive), len(unlabelled)
-    seen: dict[str, list[int]] = {}
-    for k, bag in enumerate(bags):
-        for w in bag:
-            seen.setdefault(w, [0, 0])[k >= n_pos] += 1
-    chosen = sorted(w for w, (p, u) in seen.items() if p >= MIN_POSITIVE and p - (e := n_pos * (u + 0.5) / n_unl) >= MIN_Z * math.sqrt(e))
-    index = {w: k for k, w in enumerate(chosen)}
-    rows, cols = [], []
-    for k, bag in enumerate(bags):
-        own = [index[w] for w in bag if w in index]
-        rows += [k] * len(own)
-        cols += own
-    r, c = np.array(rows, np.int64), np.array(cols, np.int64)
+    if not n_pos or not n_unl:
+        return {}, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    count = lambda x: np.bincount(np.concatenate(x).astype(np.int64), minlength=len(candidates))
+    p, u = count(positive), count(unlabelled)
+    e = n_pos * (u + 0.5) / n_unl
+    chosen = np.flatnonzero((p >= MIN_POSITIVE) & (p - e >= MIN_Z * np.sqrt(e)))
+    at = np.full(len(candidates), -1)
+    at[chosen] = np.arange(len(chosen))
+    bags = [*positive, *unlabelled]
     n = len(bags)
+    r = np.repeat(np.arange(n), [len(x) for x in bags])
+    c = at[np.concatenate(bags)] if n else at
+    r, c = r[c >= 0], c[c >= 0]
     is_pos = np.arange(n) < n_pos
     w, bias = np.zeros(len(chosen)), math.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     m = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
@@ -116,11 +125,17 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> tuple[dict[
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         move = 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    return {x: float(v) for x, v in zip(chosen, w, strict=True)}, float(bias)
+    return {candidates[k]: float(v) for k, v in zip(chosen.tolist(), w, strict=True)}, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    return fit(*training_bags(docs, labels))
+    """Weights by word and the bias."""
+    bags, unlabelled, prior = samples(docs, labels)
+    seen = Counter(w for bag in bags for w in bag.split(" ") if w)
+    candidates = sorted(w for w, n in seen.items() if n >= MIN_POSITIVE)
+    place = {w: k for k, w in enumerate(candidates)}
+    positive = [np.array([place[w] for w in bag.split(" ") if w in place], np.int32) for bag in bags]
+    return fit(positive, indices(unlabelled, candidates) if positive else [], candidates, prior)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
