@@ -50,8 +50,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S+")
-_MARK = re.compile(r"[0-9@]")
+_MARK, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
 _EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -102,6 +101,18 @@ def context(text: str, start: int) -> str | None:
     return " ".join(before[-2:]) if len(before) >= 2 else None
 
 
+def marked(text: str) -> Iterator[tuple[int, int]]:
+    """Where the blank-separated tokens with a digit or @ are; other tokens are not looked at one by one."""
+    at = 0
+    while m := _MARK.search(text, at):
+        start = m.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        end = _SPACE.search(text, m.end())
+        at = end.start() if end else len(text)
+        yield start, at
+
+
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         spans, counts, sha, edges = [], [], [], []
@@ -143,35 +154,34 @@ def places(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
         for kind, p in shared.value:
             kinds.setdefault(p, []).append(kind)
         pairs = {tuple(p.split(" ")) for p in kinds}
+        firsts = {x for x, _ in pairs}
         for b in batches:
-            rows = []
+            rows, seen = [], Counter()
             for doc, th, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if not text:
                     continue
                 w = text.lower().split()
-                seen = Counter(x for x in zip(w, w[1:]) if x in pairs)
-                if not seen:
-                    continue
-                base = base_spans(text)
-                for m in _TOKEN.finditer(text):
-                    c = context(text, m.start()) if _MARK.search(m[0]) else None
+                seen.update(x for k, v in enumerate(w) if v in firsts and (x := (v, w[k + 1] if k + 1 < len(w) else "")) in pairs)
+                base = None
+                for s, e in marked(text):
+                    c = context(text, s)
                     if c not in kinds:
                         continue
-                    s, e = m.start(), m.end()
+                    seen[tuple(c.split(" "))] -= 1
                     while s < e and text[s] in _EDGE:
                         s += 1
                     while e > s and text[e - 1] in _EDGE:
                         e -= 1
                     if s == e:
                         continue
+                    base = base_spans(text) if base is None else base
                     met = next((x for x in base if x[0] < e and s < x[2]), None)
                     for kind in kinds[c]:
                         seed = met is not None and met[1] == kind
                         rows.append((doc, th, kind, c, text[met[0] : met[2]] if seed else text[s:e], seed, met is None, s, e, 1))
-                    seen[tuple(c.split(" "))] -= 1
-                for x, n in seen.items():
-                    if n > 0:
-                        rows += [(doc, th, kind, " ".join(x), None, False, False, 0, 0, n) for kind in kinds[" ".join(x)]]
+            for x, n in seen.items():
+                if n > 0:
+                    rows += [(None, None, kind, " ".join(x), None, False, False, 0, 0, n) for kind in kinds[" ".join(x)]]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
             types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "th", "kind", "pattern", "instance", "seed", "free", "start", "end", "n"])
