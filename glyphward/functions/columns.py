@@ -49,23 +49,31 @@ def fast_level(text: Column, site: rules.Site = rules.Site()) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, even where lambdas inside body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None) -> Column:
     """Spans of all matches; a match starts where the pieces and matches before it end."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pref = F.lit(int(etype not in rules.PREFERRED))
     nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def step(a, i):
-        s = a["at"] + F.length(F.get(between, i))
-        return F.struct((s + F.length(F.get(found, i))).alias("at"), F.array_append(a["out"], s).alias("out"))
+    def step(a, piece):
+        s = a["at"] + piece["gap"]
+        return F.struct((s + piece["size"]).alias("at"), F.array_append(a["out"], s).alias("out"))
 
-    starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), nil, step, lambda a: a["out"])
-    pref = F.lit(int(etype not in rules.PREFERRED))
+    def placed(both):
+        pieces = F.zip_with(both["found"], both["between"], lambda v, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(v), F.lit(0)).alias("size")))
+        starts = F.aggregate(pieces, nil, step, lambda a: F.slice(a["out"], 1, F.size(both["found"])))
+
+        def span(v, s):
+            return F.struct(s.alias("start"), F.lit(-score).alias("nscore"), pref.alias("pref"), F.lit(order).alias("ord"), (s + F.length(v)).alias("stop"), F.lit(etype).alias("etype"), v.alias("value"))
 
-    def span(s, i):
-        v = F.get(found, i)
-        return F.struct(s.alias("start"), F.lit(-score).alias("nscore"), pref.alias("pref"), F.lit(order).alias("ord"), (s + F.length(v)).alias("stop"), F.lit(etype).alias("etype"), v.alias("value"))
+        return F.zip_with(both["found"], starts, span)
 
-    spans = F.transform(starts, span).cast(f"array<{SPAN}>")
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    spans = let(both, placed).cast(f"array<{SPAN}>")
     if check is not None:
         spans = F.filter(spans, lambda s: check(s["value"]))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
