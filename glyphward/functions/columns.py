@@ -27,8 +27,15 @@ def level_of(rank_: Column) -> Column:
     return F.get(F.array(*map(F.lit, rules.LEVELS)), rank_)
 
 
+def matches(text: Column, pattern: str, flags: str = "", site: rules.Site = rules.Site()) -> Column:
+    """text.rlike(pattern), with the search left out where none of the literals that a match needs is there."""
+    low, some = F.lower(text), rules.needed(pattern, site)
+    found = text.rlike(flags + pattern)
+    return reduce_any([F.contains(low, F.lit(x)) for x in some]) & found if some else found
+
+
 def pattern_signals(text: Column, site: rules.Site = rules.Site()) -> Column:
-    return F.array_sort(array_of(*(F.when(text.rlike("(?i)" + p), F.lit("pattern:" + n)) for ps in rules.level_patterns(site).values() for n, p in ps)))
+    return F.array_sort(array_of(*(F.when(matches(text, p, "(?i)", site), F.lit("pattern:" + n)) for ps in rules.level_patterns(site).values() for n, p in ps)))
 
 
 def keyword_signals(text: Column, site: rules.Site = rules.Site()) -> Column:
@@ -44,7 +51,7 @@ def fast_level(text: Column, site: rules.Site = rules.Site()) -> Column:
         for k in rules.level_keywords(site)[level]:
             hit = hit | F.contains(low, F.lit(k))
         for _, p in rules.level_patterns(site)[level]:
-            hit = hit | text.rlike("(?i)" + p)
+            hit = hit | matches(text, p, "(?i)", site)
         out = F.when(hit, F.lit(level)) if out is None else out.when(hit, F.lit(level))
     return out
 
@@ -54,7 +61,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None) -> Column:
+def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None, site: rules.Site = rules.Site()) -> Column:
     """Spans of all matches; a match starts where the pieces and matches before it end."""
     pref = F.lit(int(etype not in rules.PREFERRED))
     nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
@@ -76,7 +83,7 @@ def find_all(text: Column, pattern: str, etype: str, score: float, order: int, c
     spans = let(both, placed).cast(f"array<{SPAN}>")
     if check is not None:
         spans = F.filter(spans, lambda s: check(s["value"]))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(matches(text, pattern, site=site), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def luhn_ok(value: Column) -> Column:
@@ -86,7 +93,7 @@ def luhn_ok(value: Column) -> Column:
 def detect(text: Column, site: rules.Site = rules.Site(), types: tuple[str, ...] | None = None, threshold: float = 0.5) -> Column:
     """All spans of the recognizers with a score of threshold or more, sorted by (start, score, preference, order)."""
     parts = [
-        find_all(text, "(?ims)" + p, t, s, k, luhn_ok if t == "CREDIT_CARD" else None)
+        find_all(text, "(?ims)" + p, t, s, k, luhn_ok if t == "CREDIT_CARD" else None, site)
         for k, (t, p, s) in enumerate(rules.recognizers(site))
         if s >= threshold and (types is None or t in types)
     ]
@@ -144,11 +151,11 @@ def check_type(etype: Column) -> Column:
 
 
 def secret_count(text: Column) -> Column:
-    return sum((text.rlike(p).cast("int") for p in rules.SECRET_PATTERNS), F.lit(0))
+    return sum((matches(text, p).cast("int") for p in rules.SECRET_PATTERNS), F.lit(0))
 
 
 def pii_labels(text: Column) -> Column:
-    return array_of(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules.PII_PATTERNS))
+    return array_of(*(F.when(matches(text, p), F.lit(n)) for n, p in rules.PII_PATTERNS))
 
 
 def is_saas(route: Column) -> Column:

@@ -75,7 +75,7 @@ def filter_chunks(chunks: Column, route: Column) -> tuple[Column, Column]:
 
 def guard_output(df: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
     """Adds action, findings (SECRET patterns, then PII labels) and n_reconstructed."""
-    secrets = C.array_of(*(F.when(F.col(text).rlike(p), F.lit(f"SECRET:{k}")) for k, p in enumerate(rules.SECRET_PATTERNS)))
+    secrets = C.array_of(*(F.when(C.matches(F.col(text), p), F.lit(f"SECRET:{k}")) for k, p in enumerate(rules.SECRET_PATTERNS)))
     back = F.size(F.filter(F.coalesce(F.col(entities), F.array().cast("array<string>")), lambda e: F.contains(F.lower(F.col(text)), F.lower(e))))
     d = df.withColumns({"_s": secrets, "_p": F.transform(C.pii_labels(F.col(text)), lambda x: F.concat(F.lit("PII:"), x)), "n_reconstructed": back})
     action = F.when(F.size("_s") > 0, F.lit("BLOCK")).when((F.size("_p") > 0) | (F.col("n_reconstructed") > 0), F.lit("RE_REDACT")).otherwise(F.lit("ALLOW"))

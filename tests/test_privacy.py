@@ -87,3 +87,13 @@ def test_metrics_on_empty(spark):
     assert metrics.overall(metrics.per_class(metrics.confusion(e, "truth", "pred"))).first().macro_f1 == 0.0
     s = metrics.latency_stats(spark.createDataFrame([(1.0,)], "v double"), "v").first()
     assert (s.stdev, s.p95) == (0.0, 1.0)
+
+
+def test_needed_literals(spark):
+    texts = ["mail A@b.org", "x.SVC.cluster.local y", "https://a.INTERNAL/x", "host.Corp.Example", "EMP-1234", "project Titan", "in VOICE now", "sk-" + "a1" * 12, "api_key: abcdefgh1", "ASIA" + "A" * 16, "nothing at all", "", "é@ö"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    kinds = [("(?ims)", p) for _, p, _ in rules.recognizers()] + [("(?i)", p) for ps in rules.level_patterns().values() for _, p in ps] + [("", p) for p in rules.SECRET_PATTERNS] + [("", p) for _, p in rules.PII_PATTERNS]
+    same = [C.matches(F.col("t"), p, f) == F.col("t").rlike(f + p) for f, p in kinds]
+    assert all(all(r) for r in d.select(*same).collect())
+    odd = rules.Site(services=("s",), namespaces=("e",))
+    assert rules.needed(rules.SECRET_PATTERNS[2], odd) == ()
