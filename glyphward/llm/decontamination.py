@@ -2,8 +2,9 @@
 
 Test items are indexed once: normalised BM25 impacts (a passage that holds all words
 of an item scores 1 for it), posting lists, and each list's highest impact in every
-block of BLOCK items. Every training passage is a query: PASSAGE words, a new one
-every STRIDE words, so that any run of up to STRIDE words lies in one passage whole.
+block of BLOCK items. Every training passage is a query: twice `stride` words, a new one
+every `stride` words, so that any run of up to `stride` words lies in one passage whole;
+`stride` is STRIDE, or the length of the longest item if that is more.
 
 Retrieval is exact. Terms are made non-essential from the longest list down, as long as
 no item gets more than SLACK from them: alone they cannot lift an item over the
@@ -44,7 +45,7 @@ from glyphward.llm.common import ship, table
 ship(__name__)
 
 K1, B = 1.2, 0.75
-STRIDE, PASSAGE = 64, 128
+STRIDE = 64
 THRESHOLD, SLACK, MIN_OVERLAP = 0.7, 0.45, 0.8
 SHINGLE, BLOCK, MAX_ITEMS = 5, 8, 20_000
 
@@ -184,6 +185,7 @@ CHUNK = 400_000
 def search(ix: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(text, item, score, shingle share, question share, answer share) of the verified hits, the best passage of each."""
     lookup, longest = ix.terms.get, max((len(q) + len(a) for q, a in ix.parts), default=0)
+    stride = max(STRIDE, longest)
     k = 0
     while k < len(texts):
         first, found, lengths, kept = k, [], [], []
@@ -194,14 +196,14 @@ def search(ix: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float, flo
             kept.append(k)
             k += 1
         ids = np.concatenate(found).astype(np.int64)
-        n_pass = np.maximum(1, -(-np.array(lengths) // STRIDE))  # passage p of a text starts at word p * STRIDE
+        n_pass = np.maximum(1, -(-np.array(lengths) // stride))  # passage p of a text starts at word p * stride
         base = np.cumsum(n_pass) - n_pass
         pos = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         in_text = np.repeat(np.arange(len(lengths)), lengths)
         known = ids >= 0
         ids, pos, in_text = ids[known], pos[known], in_text[known]
-        p = base[in_text] + pos // STRIDE
-        early = pos >= STRIDE  # each word is also in the passage before
+        p = base[in_text] + pos // stride
+        early = pos >= stride  # each word is also in the passage before
         ps, items, scores = retrieve(ix, np.r_[ids, ids[early]], np.r_[p, p[early] - 1])
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         text_of = np.searchsorted(base, ps, side="right") - 1
@@ -209,8 +211,8 @@ def search(ix: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float, flo
         for x, t, item, s in zip(ps.tolist(), text_of.tolist(), items.tolist(), scores.tolist(), strict=True):
             if t not in split:
                 split = {t: words(texts[first + t])}
-            at = (x - int(base[t])) * STRIDE
-            shares = verify(ix, item, split[t][max(0, at - longest) : at + PASSAGE + longest])
+            at = (x - int(base[t])) * stride
+            shares = verify(ix, item, split[t][max(0, at - longest) : at + 2 * stride + longest])
             if min(shares) >= MIN_OVERLAP and (s, *shares) > best.get((t, item), (0.0,)):
                 best[t, item] = (s, *shares)
         for (t, item), v in sorted(best.items()):

@@ -117,6 +117,12 @@ def test_lm(spark):
     assert lm_scoring.score(d.limit(0), lm_scoring.train(d.limit(0), target)).count() == 0
 
 
+def test_tables_grow_within_their_bound():
+    sizes = [10**k for k in range(3, 15)]
+    most = [n / lm_scoring.least(n) for n in sizes]
+    assert all(a < b for a, b in zip(most, most[1:])) and all(m <= lm_scoring.DETAIL * n ** (1 / 3) * (1 + 1e-9) for m, n in zip(most, sizes))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 12)) * rng.lognormal(size=(700, 1))
@@ -218,6 +224,15 @@ def test_decontamination(spark, docs):
     assert decontamination.hits(d, b.limit(0)).count() == 0 and decontamination.hits(d.limit(0), b).count() == 0
 
 
+def test_items_longer_than_a_stride(spark):
+    rnd = random.Random(10)
+    long = " ".join(rnd.choices(["w%d" % i for i in range(400)], k=300))
+    filler = lambda k: " ".join(rnd.choices(["v%d" % i for i in range(400)], k=k))
+    d = spark.createDataFrame([(i, f"{filler(37 * i)} {long} {filler(90)}") for i in range(12)] + [(50, filler(900))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, filler(12))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.hits(d, items).filter("item_id = 1").collect()) == list(range(12))
+
+
 def test_wand_loses_nothing():
     rnd = random.Random(9)
     vocabulary = ["w%d" % int(rnd.paretovariate(0.7)) for i in range(2000)]
