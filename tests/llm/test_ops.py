@@ -177,10 +177,13 @@ def test_secrets(spark):
 
 
 def test_masks_cover():
-    rng, masks = np.random.default_rng(6), simhash.masks()
-    for _ in range(2000):
-        d = sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 4), replace=False))
-        assert any(d & m == 0 for m in masks)
+    rng = np.random.default_rng(6)
+    for radius, parts, tables in ((3, 1, 15), (7, 2, 30), (7, 1, 255)):
+        masks = simhash.masks(radius, parts=parts)
+        assert len(masks) == tables
+        for _ in range(2000):
+            d = sum(1 << int(i) for i in rng.choice(64, rng.integers(1, radius + 1), replace=False))
+            assert any(d & m == 0 for m in masks)
 
 
 @pytest.mark.parametrize("block", [simhash.BLOCK, 3])
@@ -209,7 +212,56 @@ def test_simhash_documents(docs, empty):
     assert len(rows) == docs.count() and simhash.classes(empty.select("doc_id", "text")).count() == 0
     assert {r["__gw_component"] for r in rows if r.doc_id is not None and 200 <= r.doc_id < 300} == {0}
     kept = simhash.dedup_stage(docs.sparkSession, docs, "").collect()
-    assert len(kept) == len({r["__gw_component"] for r in rows}) and kept[0].__fields__ == docs.columns
+    assert len(kept) == len({r.text or "" for r in docs.collect()}) and kept[0].__fields__ == docs.columns
+    assert simhash.dedup_stage(docs.sparkSession, empty, "").count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [simhash.NEAR_BLOCK, 4])
+def test_near_links(spark, block):
+    rnd = random.Random(11)
+    vocabulary = ["w%d" % int(rnd.paretovariate(0.7)) for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        w = rnd.choices(vocabulary, k=150)
+        for edits in range(9):
+            v = list(w)
+            for k in rnd.sample(range(150), edits):
+                v[k] = rnd.choice(vocabulary)
+            texts.append(" ".join(v))
+    sketches = [simhash.shingle_sketch(t.encode().split()) for t in texts]
+    members = spark.createDataFrame([(5, len(texts), i, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "g long, n long, __gw_th long, sketch binary")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = max(root[i], root[j]), min(root[i], root[j])
+                root = [y if r == x else r for r in root]
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(members, block)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == root and len(set(root)) > 12
+
+
+def test_sketch_of_large_sets():
+    rnd = random.Random(12)
+    a = ["w%d" % rnd.randrange(5000) for _ in range(9000)]
+    b, c = a[:8500] + a[:20], a[:5000] + ["v%d" % k for k in range(4000)]
+    s = [simhash.shingle_sketch(" ".join(x).encode().split()) for x in (a, b, c, a[:30])]
+    assert simhash.similar_forest(np.arange(4), s, 0.8) == ([0], [1])
+
+
+def test_dedup_stage_takes_near_copies(spark):
+    rnd = random.Random(13)
+    base = [[rnd.choice(WORDS) + str(rnd.randrange(60)) for _ in range(200)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, " ".join([*w[:90], "edited", *w[91:160], "twice", *w[161:]])) for i, w in enumerate(base)]
+    rows += [(200 + i, " ".join(w[:120] + base[(i + 1) % 20][:80])) for i, w in enumerate(base)]
+    rows += [(300, None), (301, ""), (302, " \t"), (None, "alone"), (None, "alone")]
+    kept = sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept == [-1, *range(20), *range(200, 220), 300]
 
 
 def test_decontamination(spark, docs):
