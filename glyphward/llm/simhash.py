@@ -16,9 +16,10 @@ the shared folder.
 Near copies (near_copies, the pipeline's stage) are texts whose sets of five-word
 shingles have a Jaccard similarity of SIMILAR or more. At that similarity fingerprints
 of shingles differ in about ten bits, too many to cover, so there the fingerprint is of
-single words (weight: root of the count), which a few edits hardly move. It is cut in
-two halves: of NEAR_RADIUS differing bits one half has at most half, so the masks of
-that radius over each half cover the pair. Candidate groups are the components of these
+single words, which a few edits hardly move (counts are capped, so that the frequent
+words of a language do not draw its texts together). It is cut in two halves: of
+NEAR_RADIUS differing bits one half has at most half, so the masks of that radius over
+each half cover the pair. Candidate groups are the components of these
 links; in them the shingle sets are compared and only similar texts are linked. A set of
 up to SKETCH hashes is whole and compared exactly; of a larger one the SKETCH smallest
 are kept, whose estimate has a standard deviation of 0.018 at 0.8.
@@ -41,13 +42,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphward.llm.common import materialize, ship, table, text_or_empty, wider
+from glyphward.llm.common import materialize, maybe_broadcast, ship, table, text_or_empty, wider
 
 ship(__name__)
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 BLOCK = 2048
-NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, SKETCH, NEAR_BLOCK = 5, 7, 0.8, 512, 256
+NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, SKETCH, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 512, 256, 4
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Up to so many fingerprints, half of them makes a selective enough key; the links are the same either way.
 HALVES = 1 << 27
 
@@ -203,25 +205,29 @@ def op8_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("__gw_fp"), 16, "0")).alias("fingerprint"), F.col("__gw_component").alias("component_id"))
 
 
-def word_fingerprint(w: list[bytes]) -> int:
-    """Unsigned 64-bit SimHash of the distinct words, each weighted by the root of its count."""
+def near_features(w: list[bytes]) -> tuple[int, np.ndarray]:
+    """Of the words of a text: their unsigned 64-bit SimHash, and the sketch of the text's five-word shingles.
+
+    A distinct word weighs the root of its count, of WEIGHT_COUNT at most. The sketch has the
+    SKETCH smallest hashes, ascending; fewer words make one shingle, no words the hash 0.
+    """
     if not w:
-        return 0
+        return 0, np.zeros(1, np.uint32)
     count = Counter(w)
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in count], dtype=">u8")
-    weight = np.sqrt(np.fromiter(count.values(), float, len(count)))
-    ones = weight @ np.unpackbits(h.view(np.uint8)).reshape(-1, BITS)
-    return int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big")
-
-
-def shingle_sketch(w: list[bytes]) -> np.ndarray:
-    """The SKETCH smallest hashes of the distinct five-word shingles, ascending; of fewer words, that of the whole sequence."""
-    joined = b" ".join(w)
-    ends = [e + k for k, e in enumerate(accumulate(map(len, w)))]
-    starts = [0, *(e + 1 for e in ends[:-NEAR_SHINGLE])]
-    xx = xxhash.xxh32_intdigest
-    found = {xx(joined[s:e], SEED) for s, e in zip(starts, ends[NEAR_SHINGLE - 1 :], strict=True)} if len(w) >= NEAR_SHINGLE else {xx(joined, SEED)}
-    return np.sort(np.fromiter(found, np.uint32, len(found)))[:SKETCH]
+    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in count), np.uint64, len(count))
+    weight = np.sqrt(np.minimum(np.fromiter(count.values(), float, len(count)), WEIGHT_COUNT))
+    ones = np.zeros(BITS)
+    for k in range(0, len(h), 1 << 14):
+        ones += weight[k : k + (1 << 14)] @ np.unpackbits(h[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS)
+    place = {x: k for k, x in enumerate(count)}
+    at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+    size = min(len(w), NEAR_SHINGLE)
+    n = len(w) - size + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):
+        mixed = mixed * _ODD + h[at[k : k + n]]
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * _ODD
+    return int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big"), np.unique((mixed >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def similar_forest(ids: np.ndarray, sketches: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
@@ -260,13 +266,30 @@ def near_links(members: DataFrame, block: int = NEAR_BLOCK, similar: float = SIM
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__gw_th", "sketch")
 
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("__gw_th").to_numpy()
-        a, b = similar_forest(ids, [np.frombuffer(s, np.uint32) for s in t.column("sketch").to_pylist()], similar) if len(ids) > 1 else ([], [])
+    cell = ["g", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            found = []
+            for first, end in zip(cuts, cuts[1:]):
+                if first < end:
+                    if key != (now := tuple(keys[first].tolist())):
+                        found.append(edges(held))
+                        held, key = [], now
+                    held.append(batch.slice(first, end - first))
+            yield from found
+        yield edges(held)
+
+    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = np.concatenate([p.column(3).to_numpy() for p in parts]) if parts else np.array([], np.int64)
+        a, b = similar_forest(ids, [np.frombuffer(x, np.uint32) for p in parts for x in p.column(4).to_pylist()], similar) if len(ids) > 1 else ([], [])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -275,20 +298,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or b"").lower().split() for t in b.column(2).cast(pa.binary()).to_pylist()]
-            fp = np.array([word_fingerprint(w) for w in texts], np.uint64).view(np.int64)
-            sketch = pa.array([shingle_sketch(w).tobytes() for w in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), sketch], names=["doc_id", "__gw_th", "__gw_fp", "sketch"])
+            fp, sketches = np.zeros(b.num_rows, np.uint64), []
+            for k, t in enumerate(b.column(2).cast(pa.binary())):
+                fp[k], sketch = near_features((t.as_py() or b"").lower().split())
+                sketches.append(sketch.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "__gw_th", "__gw_fp", "sketch"])
 
     kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    narrow = materialize(d.mapInArrow(run, kind))
-    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp")))
+    narrow = materialize(d.mapInArrow(run, kind).withColumn("__gw_uid", F.monotonically_increasing_id()))
+    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("__gw_uid").alias("__gw_uid")))
     fps = texts.select("__gw_fp").distinct()
     roots = components(links(fps, NEAR_RADIUS, parts=2 if fps.count() <= HALVES else 1))
-    grouped = texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_th", F.coalesce("root", "__gw_fp").alias("g"))
+    grouped = texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_uid", "__gw_th", F.coalesce("root", "__gw_fp").alias("g"))
     many = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     asked = materialize(grouped.join(many, "g"))
-    sketches = narrow.select("__gw_th", "sketch").join(asked, "__gw_th").groupBy("__gw_th", "g", "n").agg(F.first("sketch").alias("sketch"))
+    sketches = narrow.select("__gw_uid", "sketch").join(maybe_broadcast(asked), "__gw_uid")
     similar = components(near_links(sketches))
     return narrow.select("doc_id", "__gw_th").join(similar.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("doc_id", "__gw_th", F.coalesce("root", "__gw_th").alias("__gw_root"))
 

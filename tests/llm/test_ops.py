@@ -233,7 +233,7 @@ def test_near_links(spark, block):
             for k in rnd.sample(range(150), edits):
                 v[k] = rnd.choice(vocabulary)
             texts.append(" ".join(v))
-    sketches = [simhash.shingle_sketch(t.encode().split()) for t in texts]
+    sketches = [simhash.near_features(t.encode().split())[1] for t in texts]
     members = spark.createDataFrame([(5, len(texts), i, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "g long, n long, __gw_th long, sketch binary")
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -249,7 +249,7 @@ def test_sketch_of_large_sets():
     rnd = random.Random(12)
     a = ["w%d" % rnd.randrange(5000) for _ in range(9000)]
     b, c = a[:8500] + a[:20], a[:5000] + ["v%d" % k for k in range(4000)]
-    s = [simhash.shingle_sketch(" ".join(x).encode().split()) for x in (a, b, c, a[:30])]
+    s = [simhash.near_features(" ".join(x).encode().split())[1] for x in (a, b, c, a[:30])]
     assert simhash.similar_forest(np.arange(4), s, 0.8) == ([0], [1])
 
 
