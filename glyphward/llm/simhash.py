@@ -20,9 +20,8 @@ single words, which a few edits hardly move (counts are capped, so that the freq
 words of a language do not draw its texts together). It is cut in two halves: of
 NEAR_RADIUS differing bits one half has at most half, so the masks of that radius over
 each half cover the pair. Candidate groups are the components of these
-links; in them the shingle sets are compared and only similar texts are linked. A set of
-up to SKETCH hashes is whole and compared exactly; of a larger one the SKETCH smallest
-are kept, whose estimate has a standard deviation of 0.018 at 0.8.
+links; in them the whole shingle sets, of 64-bit hashes, are compared and only similar
+texts are linked, whatever their length.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words make one shingle; repeated rows and null ids stay (a
@@ -48,7 +47,7 @@ ship(__name__)
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 BLOCK = 2048
-NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, SKETCH, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 512, 256, 4
+NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 256, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Up to so many fingerprints, half of them makes a selective enough key; the links are the same either way.
 HALVES = 1 << 27
@@ -206,20 +205,23 @@ def op8_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_features(w: list[bytes]) -> tuple[int, np.ndarray]:
-    """Of the words of a text: their unsigned 64-bit SimHash, and the sketch of the text's five-word shingles.
+    """Of the words of a text: their unsigned 64-bit SimHash, and the hashes of all its five-word shingles, ascending.
 
-    A distinct word weighs the root of its count, of WEIGHT_COUNT at most. The sketch has the
-    SKETCH smallest hashes, ascending; fewer words make one shingle, no words the hash 0.
+    A distinct word weighs the root of its count, of WEIGHT_COUNT at most. Fewer words make
+    one shingle, no words the hash 0.
     """
     if not w:
-        return 0, np.zeros(1, np.uint32)
+        return 0, np.zeros(1, np.uint64)
     count = Counter(w)
     h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in count), np.uint64, len(count))
     weight = np.sqrt(np.minimum(np.fromiter(count.values(), float, len(count)), WEIGHT_COUNT))
     ones = np.zeros(BITS)
     for k in range(0, len(h), 1 << 14):
         ones += weight[k : k + (1 << 14)] @ np.unpackbits(h[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS)
-    place = {x: k for k, x in enumerate(count)}
+    return int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big"), _shingles(w, {x: k for k, x in enumerate(count)}, h)
+
+
+def _shingles(w: list[bytes], place: dict[bytes, int], h: np.ndarray) -> np.ndarray:
     at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
     size = min(len(w), NEAR_SHINGLE)
     n = len(w) - size + 1
@@ -227,15 +229,14 @@ def near_features(w: list[bytes]) -> tuple[int, np.ndarray]:
     for k in range(size):
         mixed = mixed * _ODD + h[at[k : k + n]]
     mixed = (mixed ^ (mixed >> np.uint64(33))) * _ODD
-    return int.from_bytes(np.packbits(2 * ones > weight.sum()).tobytes(), "big"), np.unique((mixed >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def similar_forest(ids: np.ndarray, sketches: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the graph whose links are sets of that Jaccard similarity or more."""
     left, right = [], []
-    top = np.array([s[-1] if len(s) == SKETCH else np.iinfo(np.uint32).max for s in sketches], np.uint32)  # sets are known up to here
-    values, flat = np.unique(np.concatenate(sketches), return_inverse=True)
-    size = np.array([len(s) for s in sketches])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
     own = np.zeros(len(values), np.int64)
     waiting = np.ones(len(ids), bool)
@@ -250,9 +251,7 @@ def similar_forest(ids: np.ndarray, sketches: list[np.ndarray], similar: float)
             own[mine] = 1
             both = np.add.reduceat(own[flat], start)
             own[mine] = 0
-            n_a = np.searchsorted(sketches[a], np.minimum(top, top[a]), side="right")
-            n_b = np.add.reduceat(values[flat] <= top[a], start, dtype=np.int64) if top[a] < top.max() else size
-            found = np.flatnonzero(waiting & (both >= similar * (n_a + n_b - both)))
+            found = np.flatnonzero(waiting & (both >= similar * (size[a] + size - both) - 1e-9))
             waiting[found] = False
             left += [int(ids[a])] * len(found)
             right += ids[found].tolist()
@@ -261,7 +260,7 @@ def similar_forest(ids: np.ndarray, sketches: list[np.ndarray], similar: float)
 
 
 def near_links(members: DataFrame, block: int = NEAR_BLOCK, similar: float = SIMILAR) -> DataFrame:
-    """Edges (a, b), a < b, over members' texts (g, n of the group, __gw_th, sketch) with the same components as all links."""
+    """Edges (a, b), a < b, over members' texts (g, n of the group, __gw_th, sketch: the whole set) with the same components as all links."""
     rows = members.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("__gw_th"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__gw_th", "sketch")
@@ -284,8 +283,8 @@ def near_links(members: DataFrame, block: int = NEAR_BLOCK, similar: float = SIM
         yield edges(held)
 
     def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids = np.concatenate([p.column(3).to_numpy() for p in parts]) if parts else np.array([], np.int64)
-        a, b = similar_forest(ids, [np.frombuffer(x, np.uint32) for p in parts for x in p.column(4).to_pylist()], similar) if len(ids) > 1 else ([], [])
+        sets = {i: np.frombuffer(x, np.uint64) for p in parts for i, x in zip(p.column(3).to_pylist(), p.column(4).to_pylist(), strict=True)}
+        a, b = similar_forest(np.array(list(sets), np.int64), list(sets.values()), similar) if len(sets) > 1 else ([], [])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -298,25 +297,42 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, sketches = np.zeros(b.num_rows, np.uint64), []
-            for k, t in enumerate(b.column(2).cast(pa.binary())):
-                fp[k], sketch = near_features((t.as_py() or b"").lower().split())
-                sketches.append(sketch.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "__gw_th", "__gw_fp", "sketch"])
-
-    kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    narrow = materialize(d.mapInArrow(run, kind).withColumn("__gw_uid", F.monotonically_increasing_id()))
-    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("__gw_uid").alias("__gw_uid")))
+            fp = np.array([near_features((t.as_py() or b"").lower().split())[0] for t in b.column(2).cast(pa.binary())], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "__gw_th", "__gw_fp"])
+
+    kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType())])
+    narrow = materialize(d.mapInArrow(run, kind))
+    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("doc_id").alias("__gw_id")))
     fps = texts.select("__gw_fp").distinct()
     roots = components(links(fps, NEAR_RADIUS, parts=2 if fps.count() <= HALVES else 1))
-    grouped = texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_uid", "__gw_th", F.coalesce("root", "__gw_fp").alias("g"))
-    many = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = materialize(grouped.join(many, "g"))
-    sketches = narrow.select("__gw_uid", "sketch").join(maybe_broadcast(asked), "__gw_uid")
-    similar = components(near_links(sketches))
+    near = compared(d, texts, roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp")
+    similar = components(near)
     return narrow.select("doc_id", "__gw_th").join(similar.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("doc_id", "__gw_th", F.coalesce("root", "__gw_th").alias("__gw_root"))
 
 
+def one_each(d: DataFrame, texts: DataFrame) -> DataFrame:
+    """The columns of texts (__gw_th, __gw_id and others) with the text, from the row of d that has that id and hash."""
+    own = texts.withColumnRenamed("__gw_th", "__gw_own")
+    met = d.join(maybe_broadcast(own), (F.col("__gw_th") == F.col("__gw_own")) & F.col("doc_id").eqNullSafe(F.col("__gw_id")))
+    return met.select("__gw_th", *(c for c in texts.columns if c not in ("__gw_th", "__gw_id")), "text")
+
+
+def compared(d: DataFrame, texts: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """near_links within the candidate groups that roots (by, root) makes of the texts."""
+    grouped = texts.join(roots, by).select("__gw_th", "__gw_id", F.col("root").alias("g"))
+    if by == "__gw_fp":  # texts of one fingerprint are candidates too
+        grouped = texts.join(roots, by, "left").select("__gw_th", "__gw_id", F.coalesce("root", "__gw_fp").alias("g"))
+    many = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = materialize(grouped.join(many, "g").select("__gw_th", "__gw_id", "g", "n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [near_features((t.as_py() or b"").lower().split())[1].tobytes() for t in b.column(3).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(sets, pa.binary())], names=["g", "n", "__gw_th", "sketch"])
+
+    return near_links(one_each(d, asked).mapInArrow(run, "g long, n long, __gw_th long, sketch binary"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id (null last); of rows that share it, one of the least text hash."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__gw_th").alias("th")))

@@ -253,6 +253,17 @@ def test_sketch_of_large_sets():
     assert simhash.similar_forest(np.arange(4), s, 0.8) == ([0], [1])
 
 
+def test_long_texts_are_compared_whole():
+    """Pairs of long texts close to 0.8, on either side."""
+    for cut, similar in ((398, True), (402, False)):
+        for seed in range(20):
+            w = [b"w%d_%d" % (seed, k) for k in range(2004)]
+            s = [simhash.near_features(x)[1] for x in (w, w[: 2004 - cut])]
+            n, m = 2000, 2000 - cut
+            assert (m / n >= 0.8) == similar and [len(x) for x in s] == [n, m]
+            assert simhash.similar_forest(np.arange(2), s, 0.8) == (([0], [1]) if similar else ([], []))
+
+
 def test_dedup_stage_takes_near_copies(spark):
     rnd = random.Random(13)
     base = [[rnd.choice(WORDS) + str(rnd.randrange(60)) for _ in range(200)] for _ in range(20)]
