@@ -23,6 +23,12 @@ each half cover the pair. Candidate groups are the components of these
 links; in them the whole shingle sets, of 64-bit hashes, are compared and only similar
 texts are linked, whatever their length.
 
+Similar texts may still have fingerprints further apart (a copy with a footer, or cut
+short), so between the groups so found every other similar pair is found exactly, by
+prefix filtering: shingles have one order, common ones last, and a pair similar enough
+shares some of the first shingles of both. The fingerprints only spare that pass the
+pairs within large groups; what is linked does not depend on them.
+
 Cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words make one shingle; repeated rows and null ids stay (a
 component id is null only if all its ids are); an empty table gives no rows.
@@ -30,6 +36,7 @@ component id is null only if all its ids are); an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -48,6 +55,8 @@ ship(__name__)
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 BLOCK = 2048
 NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 256, 4
+#: Of the prefix filter: texts sampled for common shingles, how many of them make one common, and one more shared shingle for so many.
+LATE_TEXTS, COMMON, PREFIX_SHARE = 8000, 3, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Up to so many fingerprints, half of them makes a selective enough key; the links are the same either way.
 HALVES = 1 << 27
@@ -305,8 +314,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("doc_id").alias("__gw_id")))
     fps = texts.select("__gw_fp").distinct()
     roots = components(links(fps, NEAR_RADIUS, parts=2 if fps.count() <= HALVES else 1))
-    near = compared(d, texts, roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp")
-    similar = components(near)
+    first = F.coalesce("root", "__gw_fp").alias("g")
+    near = materialize(compared(d, texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_th", "__gw_id", first)))
+    known = components(near)
+    rest = materialize(texts.join(known.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("__gw_th", "__gw_id", F.coalesce("root", "__gw_th").alias("root")))
+    found = components(prefix_pairs(d, rest)).withColumnRenamed("node", "__gw_th")
+    more = compared(d, rest.select("__gw_th", "__gw_id").join(found, "__gw_th").select("__gw_th", "__gw_id", F.col("root").alias("g")))
+    similar = components(near.union(more).distinct())
     return narrow.select("doc_id", "__gw_th").join(similar.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("doc_id", "__gw_th", F.coalesce("root", "__gw_th").alias("__gw_root"))
 
 
@@ -317,11 +331,98 @@ def one_each(d: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("__gw_th", *(c for c in texts.columns if c not in ("__gw_th", "__gw_id")), "text")
 
 
-def compared(d: DataFrame, texts: DataFrame, roots: DataFrame, by: str) -> DataFrame:
-    """near_links within the candidate groups that roots (by, root) makes of the texts."""
-    grouped = texts.join(roots, by).select("__gw_th", "__gw_id", F.col("root").alias("g"))
-    if by == "__gw_fp":  # texts of one fingerprint are candidates too
-        grouped = texts.join(roots, by, "left").select("__gw_th", "__gw_id", F.coalesce("root", "__gw_fp").alias("g"))
+def late_shingles(d: DataFrame, texts: DataFrame) -> np.ndarray:
+    """Hashes of shingles that COMMON or more of about LATE_TEXTS sampled texts hold. They only set the order of shingles, any of which is right."""
+    share = min(1.0, LATE_TEXTS / max(1, texts.count()))
+    few = texts.select("__gw_th", "__gw_id").filter(F.pmod(F.xxhash64("__gw_th"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(near_features((t.as_py() or b"").lower().split())[1].view(np.int64))], names=["key"])
+
+    common = one_each(d, few).mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON).select("key").toArrow()
+    return np.sort(common.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _needed(n: np.ndarray | int) -> np.ndarray | int:
+    """Shared shingles of the prefixes that a pair must have, by the size of its smaller set."""
+    return 1 + n // PREFIX_SHARE
+
+
+def prefix(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in an order common to all sets: rare ones by hash, then those of late by hash.
+
+    A set similar to this one shares at least SIMILAR * n of its n shingles. The l-th of the shared
+    ones, in order, has all other shared ones behind it, so it is among the first
+    n - SIMILAR * n + l of this set, and likewise of the other: both prefixes hold l shared ones.
+    """
+    n = len(s)
+    at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
+    is_late = late[at] == s if len(late) else np.zeros(n, bool)
+    return np.concatenate([s[~is_late], s[is_late]])[: n - math.ceil(SIMILAR * n - 1e-9) + int(_needed(n))]
+
+
+def prefix_pairs(d: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, of texts (__gw_th, __gw_id, root) with different roots: all whose similarity is SIMILAR or more, and some others."""
+    shared = d.sparkSession.sparkContext.broadcast(late_shingles(d, texts))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for b in batches:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                sets = [near_features((t.as_py() or b"").lower().split())[1] for t in part.column(2).cast(pa.binary())]
+                heads = [prefix(x, late) for x in sets]
+                own = np.repeat(np.arange(len(sets)), [len(x) for x in heads])
+                sizes = np.array([len(x) for x in sets], np.int32)
+                th, root = (part.column(k).to_numpy() for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(th[own]), pa.array(root[own]), pa.array(sizes[own])], names=["key", "th", "root", "size"])
+
+    rows = one_each(d, texts).mapInArrow(spread, "key long, th long, root long, size int").repartition("key")
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
+    rows = rows.join(many, "key").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("th"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "th", "root", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            cols = [b.column(k).to_numpy() for k in range(7)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1 if len(cols[0]) > 1 else np.array([], int)
+            last = int(change[-1]) if len(change) else 0
+            held = [c[last:] for c in cols]
+            yield from pairs([c[:last] for c in cols], change[:-1])
+        if held is not None:
+            yield from pairs(held, np.array([], int))
+
+    def pairs(cols: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, i, j, size, th, root, own = cols
+        if not len(th):
+            return
+        runs = np.diff(np.r_[0, cuts, len(th)])
+        after = np.repeat(np.cumsum(runs), runs) - np.arange(len(th)) - 1
+        at, shift = np.flatnonzero(after > 0), 1
+        while len(at):
+            at = at[size[at] >= SIMILAR * size[at + shift] - 1e-9]  # sizes ascend in a cell, so no later one fits either
+            x, y = at, at + shift
+            new = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[new], y[new]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(th[x], th[y])), pa.array(np.maximum(th[x], th[y])), pa.array(size[x])], names=["a", "b", "least"])
+            shift += 1
+            at = at[after[at] >= shift]
+
+    cell = ["key", "i", "j"]
+    met = rows.repartition(*cell).sortWithinPartitions(*cell, "size").mapInArrow(run, "a long, b long, least int")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    return met.filter(F.col("n") >= F.floor(F.col("least") / PREFIX_SHARE) + 1).select("a", "b")
+
+
+def compared(d: DataFrame, grouped: DataFrame) -> DataFrame:
+    """near_links within the candidate groups g of the texts (__gw_th, __gw_id, g)."""
     many = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     asked = materialize(grouped.join(many, "g").select("__gw_th", "__gw_id", "g", "n"))
 

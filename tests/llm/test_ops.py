@@ -275,6 +275,41 @@ def test_dedup_stage_takes_near_copies(spark):
     assert kept == [-1, *range(20), *range(200, 220), 300]
 
 
+def planted_copies(seed=14, n=40):
+    """Pairs of texts just over a similarity of 0.8: words added at the end, cut off, scattered edits, a block changed."""
+    rnd = random.Random(seed)
+    vocabulary = ["w%d" % int(rnd.paretovariate(0.7)) for _ in range(3000)]
+    rows = []
+    for i in range(n):
+        w = rnd.choices(vocabulary, k=rnd.choice((60, 120, 400, 900)))
+        k = len(w)
+        more, less, block = w + rnd.choices(vocabulary, k=int(0.23 * k)), w[: int(0.82 * k)], w[: k // 2] + rnd.choices(vocabulary, k=k // 11) + w[k // 2 + k // 11 :]
+        edits = list(w)
+        for at in range(k // 100, k, 50):
+            edits[at] = "edited"
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join((more, less, edits, block)[i % 4]))]
+    return [x for a, b in zip(rows[::2], rows[1::2]) if jaccard(a[1], b[1]) >= 0.8 for x in (a, b)]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_prefix_pairs_miss_none(spark, block):
+    rows = planted_copies()
+    common = " ".join("c%d" % k for k in range(12))
+    rows = [(i, common + " " + t) for i, t in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gw_th", F.xxhash64("text"))
+    texts = d.select("__gw_th", F.col("doc_id").alias("__gw_id"), F.col("__gw_th").alias("root"))
+    ids = {r["__gw_th"]: r.doc_id for r in d.collect()}
+    got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in simhash.prefix_pairs(d.select("doc_id", "__gw_th", "text"), texts, block).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and jaccard(a[1], b[1]) >= 0.8}
+    assert want <= got and len(want) > 30 and len({a // 10 % 4 for a, _ in want}) == 4
+
+
+def test_dedup_stage_takes_appended_and_cut_copies(spark):
+    rows = planted_copies(15)
+    kept = sorted(r.doc_id for r in simhash.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept == [i for i, _ in rows[::2]]
+
+
 def test_decontamination(spark, docs):
     rnd = random.Random(8)
     vocabulary = ["w%d" % i for i in range(400)]
