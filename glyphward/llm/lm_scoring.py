@@ -8,13 +8,15 @@ texts), share one vocabulary, order and smoothing:
 and a document's score is its mean loss per token under the target model less that
 under the background model; lower is closer to the target.
 
-Words are counted over all texts; those with under least(N) places among the N tokens
-become the unknown word of both models. Then bigrams over that vocabulary are counted
-over all texts, and those under least(N) back off to the unigram. least(N) is
-N^(2/3) / DETAIL, so the vocabulary and the bigram table grow with the input, as N^(1/3),
-and have at most DETAIL * N^(1/3) entries each: that is the proven size of what is
-collected and broadcast (3.4 million at 5 billion tokens, 50 million of 24 bytes at
-16 trillion). Each task sums its counts before they are shuffled.
+Words are counted over all texts; those with MIN_COUNT places, or one in a target text,
+have their own entry, and the others become the unknown word of both models. Bigrams over
+that vocabulary have an entry by the same rule; the others back off to the unigram. The
+rule does not depend on the size of the input.
+
+Tables of up to ENTRIES words and PAIRS bigrams are collected and broadcast, and texts are
+scored where they are. Larger ones stay written tables: the bigrams of each document, summed
+in it, meet them in shuffled joins. Both ways give the same scores. Each task sums its
+counts before they are shuffled.
 
 Cases: null and empty texts have no token, score 0 and null losses; a target
 without texts leaves the target model uniform; null ids are scored and are no
@@ -38,12 +40,16 @@ from glyphward.llm.common import materialize, maybe_broadcast, ship, table, wide
 ship(__name__)
 
 DETAIL, MIN_COUNT, MU = 2000, 3, 5.0
+#: Most words and most bigrams that are broadcast.
+ENTRIES, PAIRS = 1_000_000, 4_000_000
+#: The unknown word and the start of a text, neither of which is a word, in the shuffled joins.
+UNKNOWN, START = b"", b" "
 #: Distinct words, and tokens, that a task sums up before it passes them on.
 WORDS, CHUNK = 400_000, 2_000_000
 
 
 def least(tokens: int, detail: float = DETAIL) -> int:
-    """Places that a word or a bigram needs to have its own entry."""
+    """Places that would keep a table within DETAIL * N^(1/3) entries; no entry is dropped by it."""
     return max(MIN_COUNT, int(np.ceil(round(tokens ** (2 / 3) / detail, 6))))
 
 
@@ -125,7 +131,58 @@ class Models:
         return out[0], out[1]
 
 
-def train(docs: DataFrame, target: DataFrame, detail: float = DETAIL) -> Models:
+@dataclass
+class Tables:
+    """The models where they are too large to broadcast."""
+
+    words: DataFrame  # key, c_all, c_target
+    pairs: DataFrame  # v, w, c_all, c_target, over the vocabulary
+    tokens: tuple[int, int]  # all, target
+    unknown: tuple[int, int]
+    begins: tuple[int, int]
+    size: int  # words
+
+    def mapped(self, pairs: DataFrame) -> DataFrame:
+        """pairs (v, w and others) with the words (v2, w2) that stand for them and those's counts."""
+        sides = pairs
+        for x in ("w", "v"):
+            k = self.words.select(F.col("key").alias(x), F.lit(True).alias("known"), F.col("c_all").alias(f"{x}_all"), F.col("c_target").alias(f"{x}_target"))
+            start, known = F.col(x) == F.lit(START), F.col("known").isNotNull()
+            sides = sides.join(k, x, "left").withColumn(f"{x}2", F.when(start | known, F.col(x)).otherwise(F.lit(UNKNOWN)))
+            for i, name in enumerate((f"{x}_all", f"{x}_target")):
+                sides = sides.withColumn(name, F.when(start, F.lit(self.begins[i])).when(known, F.col(name)).otherwise(F.lit(self.unknown[i])))
+            sides = sides.drop("known")
+        return sides
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(v, w) and the loss of w after v under the target (loss_target) and the background model (loss_all)."""
+        own = self.pairs.select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("c_all").alias("p_all"), F.col("c_target").alias("p_target"))
+        met = self.mapped(pairs).join(own, ["v2", "w2"], "left")
+        for i, x in enumerate(("all", "target")):
+            uni = (F.col(f"w_{x}") + 1.0) / F.lit(float(self.tokens[i] + self.size + 1))
+            met = met.withColumn(f"loss_{x}", -F.log((F.coalesce(f"p_{x}", F.lit(0)) + MU * uni) / (F.col(f"v_{x}") + MU)))
+        return met.select("v", "w", "loss_target", "loss_all")
+
+
+def kept(counts: DataFrame) -> DataFrame:
+    return counts.filter((F.col("c_all") >= MIN_COUNT) | (F.col("c_target") > 0))
+
+
+def _own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(own, v, w, n) for the distinct pairs of each text; the batches have own and text."""
+    for b in batches:
+        for own, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            w = words(text)
+            count = Counter(zip([START, *w], w))
+            if count:
+                v, w = zip(*count, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(v), pa.int64()), pa.array(v, pa.binary()), pa.array(w, pa.binary()), pa.array(list(count.values()), pa.int64())], names=["own", "v", "w", "n"])
+
+
+_PAIR = "own long, v binary, w binary, n long"
+
+
+def train(docs: DataFrame, target: DataFrame, entries: int = ENTRIES, most_pairs: int = PAIRS) -> Models | Tables:
     """docs: doc_id, text; target: the doc_ids of the target texts."""
     sc = docs.sparkSession.sparkContext
     mine = target.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gw_id"), F.lit(True).alias("__gw_target")).distinct()
@@ -135,12 +192,23 @@ def train(docs: DataFrame, target: DataFrame, detail: float = DETAIL) -> Models:
     unigrams = materialize(d.mapInArrow(_word_counts, "key binary, c_all long, c_target long").groupBy("key").agg(*sums))
     texts = d.filter(F.length("text") > 0).groupBy("__gw_target").count().collect()
     total, total_target = unigrams.agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.coalesce(F.sum("c_target"), F.lit(0))).first()
-    enough = least(total, detail)
-    found = sorted(tuple(r) for r in unigrams.filter(F.col("c_all") >= enough).collect())
-    vocabulary = [bytes(r[0]) for r in found]
-    known = np.array([[r[2] for r in found], [r[1] for r in found]], np.int64).reshape(2, -1)
-    unknown = np.array([total_target, total]) - known.sum(1)
     begins = np.array([sum(r[1] for r in texts if r[0]), sum(r[1] for r in texts)], np.int64)
+    held = kept(unigrams)
+    n_held, n_all, n_target = held.agg(F.count("*"), F.coalesce(F.sum("c_all"), F.lit(0)), F.coalesce(F.sum("c_target"), F.lit(0))).first()
+
+    def tables() -> Tables:
+        out = Tables(held, held, (total, total_target), (total - n_all, total_target - n_target), (int(begins[1]), int(begins[0])), n_held)
+        raw = d.select(F.col("__gw_target").cast("long").alias("own"), "text").mapInArrow(_own_pairs, _PAIR)
+        raw = materialize(raw.groupBy("v", "w").agg(F.sum("n").alias("c_all"), F.sum(F.col("n") * F.col("own")).alias("c_target")))
+        out.pairs = materialize(kept(out.mapped(raw).groupBy(F.col("v2").alias("v"), F.col("w2").alias("w")).agg(*sums)))
+        return out
+
+    if n_held > entries:
+        return tables()
+    found = held.toArrow().sort_by("key")
+    vocabulary = found.column("key").to_pylist()
+    known = np.array([found.column(x).to_numpy() for x in ("c_target", "c_all")], np.int64).reshape(2, -1)
+    unknown = np.array([total_target, total]) - known.sum(1)
     counts = np.concatenate([begins[:, None], unknown[:, None], known], axis=1)
     shared, n = sc.broadcast(vocabulary), len(vocabulary) + 2
 
@@ -157,15 +225,32 @@ def train(docs: DataFrame, target: DataFrame, detail: float = DETAIL) -> Models:
                 c, k = np.diff(np.r_[start, len(key)]), key[start]
                 yield pa.RecordBatch.from_arrays([pa.array(k // 2), pa.array(c), pa.array(np.where(k % 2 == 1, c, 0))], names=["key", "c_all", "c_target"])
 
-    pairs = d.mapInArrow(pair_counts, "key long, c_all long, c_target long").groupBy("key").agg(*sums).filter(F.col("c_all") >= enough).toArrow()
+    pairs = materialize(kept(d.mapInArrow(pair_counts, "key long, c_all long, c_target long").groupBy("key").agg(*sums)))
+    if pairs.count() > most_pairs:
+        return tables()
+    pairs = pairs.toArrow()
     key = pairs.column("key").to_numpy().astype(np.int64)
     at = np.argsort(key)
     both = np.stack([pairs.column(x).to_numpy().astype(np.int64) for x in ("c_target", "c_all")])
     return Models(vocabulary, counts, key[at], both[:, at])
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
+def score_joined(docs: DataFrame, models: Tables) -> DataFrame:
+    """score() by shuffled joins of each document's bigrams."""
+    rows = materialize(docs.withColumn("__gw_uid", F.monotonically_increasing_id()))
+    pairs = materialize(rows.select("__gw_uid", "text").mapInArrow(_own_pairs, _PAIR))
+    loss = models.losses(pairs.select("v", "w").distinct())
+    sums = [F.sum(F.col("n") * F.col(f"loss_{x}")).alias(f"sum_{x}") for x in ("target", "all")]
+    own = pairs.join(loss, ["v", "w"]).groupBy("own").agg(F.sum("n").alias("n"), *sums)
+    met = rows.join(own.withColumnRenamed("own", "__gw_uid"), "__gw_uid", "left")
+    t, g = F.col("sum_target") / F.col("n"), F.col("sum_all") / F.col("n")
+    return met.select(*docs.columns, F.coalesce("n", F.lit(0)).alias("__gw_tokens"), t.alias("__gw_target_loss"), g.alias("__gw_background_loss"), F.coalesce(t - g, F.lit(0.0)).alias("__gw_score"))
+
+
+def score(docs: DataFrame, models: Models | Tables) -> DataFrame:
     """docs with __gw_tokens, __gw_target_loss, __gw_background_loss (nats per token) and __gw_score, their difference."""
+    if isinstance(models, Tables):
+        return score_joined(docs, models)
     shared = docs.sparkSession.sparkContext.broadcast(vars(models))
     at = docs.columns.index("text")
 

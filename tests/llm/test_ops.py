@@ -123,6 +123,24 @@ def test_tables_grow_within_their_bound():
     assert all(a < b for a, b in zip(most, most[1:])) and all(m <= lm_scoring.DETAIL * n ** (1 / 3) * (1 + 1e-9) for m, n in zip(most, sizes))
 
 
+def test_lm_keeps_rare_target_words_whatever_the_background(spark):
+    """A word of the target keeps its entry as background is added, and both ways of scoring agree."""
+    rnd = random.Random(16)
+    rows = [(i, " ".join([*rnd.choices(WORDS, k=20), *(["rare", "term"] if i < 4 else ["once%d" % i])])) for i in range(60)]
+    more = [(1000 + i, " ".join(rnd.choices(WORDS, k=2000))) for i in range(600)]
+    small, large = (spark.createDataFrame([*x, (None, None), (901, "")], "doc_id long, text string") for x in (rows, rows + more))
+    target = small.filter("doc_id < 4").select("doc_id")
+    for d in (small, large):
+        models = lm_scoring.train(d, target)
+        assert b"rare" in models.vocabulary and b"once7" not in models.vocabulary
+        out = {r.doc_id: r for r in lm_scoring.score(d, models).collect()}
+        for limits in ((0, 10**9), (10**9, 0)):
+            joined = lm_scoring.train(d, target, *limits)
+            assert isinstance(joined, lm_scoring.Tables)
+            for r in lm_scoring.score(d, joined).collect():
+                assert tuple(r)[2:] == pytest.approx(tuple(out[r.doc_id])[2:])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 12)) * rng.lognormal(size=(700, 1))
