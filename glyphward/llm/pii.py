@@ -12,8 +12,9 @@ instances Spark iterates
 and patterns with a final score of CONFIDENT or more turn the unseen identifiers
 after them into spans of their kind. Base spans always stay.
 
-A pattern needs MIN_SEEDS distinct seeds and 1/MAX_PATTERNS of all seed places, so
-at most MAX_PATTERNS patterns per kind are ever broadcast.
+A pattern needs MIN_SEEDS distinct seeds, however large the input is. Up to MAX_PATTERNS
+patterns are broadcast at once; of more, groups by hash are searched one after another,
+each group by a pass of its own over the texts.
 
 The patterns of the base are rewritten so that a failing start is not rescanned
 (possessive digits after a non-digit; the local part of an address is read backwards
@@ -135,18 +136,24 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialize(d.mapInArrow(_base, kind))
 
 
-def induce(found: DataFrame) -> list[tuple[int, str]]:
+def induce(found: DataFrame) -> DataFrame:
     """(kind, pattern) of the patterns with enough seeds."""
     e = found.filter(F.size("edges") > 0).select(F.explode("edges").alias("e")).select("e.*")
-    total = e.count()
-    each = e.groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n"))
-    p = each.groupBy("kind", "pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("places"))
-    p = p.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("places") >= total / MAX_PATTERNS))
-    return sorted((r.kind, r.pattern) for r in p.collect())
+    p = e.groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n")).groupBy("kind", "pattern").agg(F.count("*").alias("seeds"))
+    return materialize(p.filter(F.col("seeds") >= MIN_SEEDS).select("kind", "pattern"))
 
 
-def places(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
-    """Where patterns occur before identifier-like tokens (instance set), and how often before others (instance null)."""
+def places(docs: DataFrame, patterns: DataFrame, n: int, most: int = MAX_PATTERNS) -> DataFrame:
+    """Where the n patterns (kind, pattern) occur before identifier-like tokens (instance set), and how often before others (instance null)."""
+    groups, found = -(-n // most), None
+    for g in range(groups):
+        own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g)
+        part = _places_of(docs, sorted((r.kind, r.pattern) for r in own.collect()))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _places_of(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +220,17 @@ def _merge(spans: F.Column, added: F.Column) -> F.Column:
     return F.array_join(F.transform(every, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def extract(docs: DataFrame) -> DataFrame:
+def extract(docs: DataFrame, most: int = MAX_PATTERNS) -> DataFrame:
     """doc_id, counts and hash of the base spans, and all spans."""
     found = scan(docs)
     own = ["doc_id", "th"]
     kept = [*own, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     patterns = induce(found)
-    if not patterns:
+    n = patterns.count()
+    if not n:
         return found.select(*kept)
-    at = places(docs, patterns)
-    new = at.filter("free").join(F.broadcast(confident(at).select("kind", "pattern")), ["kind", "pattern"])
+    at = places(docs, patterns, n, most)
+    new = at.filter("free").join(maybe_broadcast(materialize(confident(at).select("kind", "pattern"))), ["kind", "pattern"])
     added = new.select(*own, F.struct("start", "kind", "end").alias("s")).groupBy(*own).agg(F.array_sort(F.collect_set("s")).alias("added"))
     added = materialize(added.withColumnsRenamed({"doc_id": "own_id", "th": "own_th"}))
     met = found.select(*kept).join(maybe_broadcast(added), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")

@@ -188,6 +188,15 @@ def test_pii(spark):
     assert out[200].base_sha256 == hashlib.sha256(b"").hexdigest() == out[100].base_sha256
 
 
+@pytest.mark.parametrize("most", [pii.MAX_PATTERNS, 1])
+def test_pii_patterns_do_not_depend_on_other_seeds(spark, most):
+    """Five seeds make a pattern beside very many seed places of another kind, and in several passes too."""
+    rows = [(i, f"x reach me: +1 (212) 555-{1000 + i} now") for i in range(5)] + [(100, "reach me: 555-2001, please")]
+    rows += [(1000 + i, " ".join(f"send it u{i}x{k}@mail.example.org" for k in range(100))) for i in range(600)] + [(101, "send it 77-abc")]
+    out = {r.doc_id: r.spans for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string"), most).collect()}
+    assert out[100] == "phone:10:18" and out[101] == "email:8:14"
+
+
 def test_secrets(spark):
     rows = [(1, "é🙂 api_key: Ab9xYz12QrStUv34Wx! ", "a"), (2, "bare Ab9xYz12QrStUv34Wx here", "a"), (3, "token: abc token=abcdef1234567890ABCDEF", "a"), (4, "token=abcdef1234567890ABCDEF", "b"), (5, "abcdef1234567890ABCDEF", "b"), (6, None, None), (7, "AKIA" + "A" * 16 + " " + "0f" * 12, "c"), (7, "AKIA" + "A" * 16 + " " + "0f" * 12, "c")]
     out = [(r.doc_id, r.s) for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()]
