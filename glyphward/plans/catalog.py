@@ -349,7 +349,7 @@ def tumbling_counts(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(hour.alias("bucket"), "event_type").agg(F.count("*").alias("n"))
 
 
-_HEADED = "concat('intro ', CAST(doc_id AS STRING), chr(10), '## First part', chr(10), left(coalesce(text, ''), 40), '.', chr(10), '### not a boundary', chr(10), '##  Second', chr(10), 'tail')"
+_HEADED = "concat('intro ', CAST(doc_id AS STRING), chr(10), '## First part', chr(10), coalesce(text, ''), '.', chr(10), '### not a boundary', chr(10), '##  Second', chr(10), 'tail')"
 
 
 @query(
@@ -357,7 +357,7 @@ _HEADED = "concat('intro ', CAST(doc_id AS STRING), chr(10), '## First part', ch
     " SELECT doc_id, 0 AS idx, 'Preamble' AS section, md5('Preamble:0') AS chunk_id FROM d UNION ALL SELECT doc_id, 1, 'First part', md5('First part:1') FROM d UNION ALL SELECT doc_id, 2, 'Second', md5('Second:2') FROM d"
 )
 def chunk_headings(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED.replace("left(coalesce(text, ''), 40)", "replace(left(coalesce(text, ''), 40), '#', '')")).alias("text"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED).alias("text"))
     return corpus.chunk_headings(d).select("doc_id", "idx", "section", "chunk_id")
 
 

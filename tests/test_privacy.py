@@ -1,11 +1,14 @@
 """Goldens of the privacy operators; each trap of the blueprint has its case."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from glyphward.functions import columns as C
 from glyphward.functions import rules
 from glyphward.operators import corpus, metrics, privacy
+from glyphward.plans import catalog
 
 
 def frame(spark, texts, **more):
@@ -97,3 +100,21 @@ def test_needed_literals(spark):
     assert all(all(r) for r in d.select(*same).collect())
     odd = rules.Site(services=("s",), namespaces=("e",))
     assert rules.needed(rules.SECRET_PATTERNS[2], odd) == ()
+
+
+def test_chunk_headings_reads_whole_texts(spark, tmp_path):
+    """Headings of a text's own, before and after its first 40 characters, against a plain chunker."""
+    texts = ["a\n## Own # one\nb", "word " * 30 + "\n## Late\nx\n### no\n##\tTabbed \ny\n## Empty\n## Last\n#z", "## Start", "no heading ## here", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        sections = [["Preamble", []]]
+        for line in f"intro {i}\n## First part\n{t or ''}.\n### not a boundary\n##  Second\ntail".split("\n"):
+            if line[:3] in ("## ", "##\t"):
+                sections.append([line[3:].strip(), []])
+            else:
+                sections[-1][1].append(line)
+        kept = [name for name, body in sections if "\n".join(body).strip()]
+        want += [(i, k, name, hashlib.md5(f"{name}:{k}".encode()).hexdigest()) for k, name in enumerate(kept)]
+    got = catalog.QUERIES["chunk_headings"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3 * len(texts)
