@@ -118,3 +118,15 @@ def test_chunk_headings_reads_whole_texts(spark, tmp_path):
         want += [(i, k, name, hashlib.md5(f"{name}:{k}".encode()).hexdigest()) for k, name in enumerate(kept)]
     got = catalog.QUERIES["chunk_headings"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3 * len(texts)
+
+
+def test_positive_pairs_use_the_whole_group(spark):
+    rows = [("big", k) for k in range(3000)] + [("small", k) for k in range(20)] + [("mid", k) for k in range(40)] + [("one", 1), (None, 1), (None, 2), ("small", 3)]
+    d = spark.createDataFrame(rows, "label string, vec_id long")
+    got = [tuple(r) for r in corpus.positive_pairs(d, "label", "vec_id").collect()]
+    of = lambda g: [(a, b) for x, a, b in got if x == g]
+    assert {g: len(of(g)) for g in ("big", "small", "mid", "one")} == {"big": 500, "small": 190, "mid": 500, "one": 0}
+    assert len(set(got)) == len(got) == 1190 and all(a < b for _, a, b in got)
+    used = {x for p in of("big") for x in p}
+    assert len(used) > 700 and used <= set(range(3000)) and len({x // 300 for x in used}) == 10
+    assert sorted(got) == sorted(tuple(r) for r in corpus.positive_pairs(d.repartition(5), "label", "vec_id").collect())
