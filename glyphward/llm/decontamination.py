@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphward.llm.common import ship, table
+from glyphward.llm.common import materialize, ship, table
 
 ship(__name__)
 
@@ -89,17 +89,18 @@ class Index:
     shingles: list[set[bytes]] = field(default_factory=list)
 
 
-def build(items: list[tuple[int | None, str | None]]) -> Index:
+def build(items: list[tuple[int | None, str | None]], whole: tuple[int, float, dict[bytes, int]] | None = None) -> Index:
+    """The index of items; whole: count, mean length and document frequencies of all items, where these are a part of them."""
     known = [(i, p) for i, t in items if (p := split_item(t or "")) and p[0]]
     ix = Index([i for i, _ in known], [p for _, p in known])
     bags = [Counter(q + a) for q, a in ix.parts]
-    mean = sum(map(sum, (b.values() for b in bags))) / max(1, len(bags))
-    df = Counter(t for b in bags for t in b)
-    ix.terms = {t: k for k, t in enumerate(sorted(df))}
+    own = Counter(t for b in bags for t in b)
+    count, mean, df = whole or (len(bags), sum(map(sum, (b.values() for b in bags))) / max(1, len(bags)), own)
+    ix.terms = {t: k for k, t in enumerate(sorted(own))}
     postings: list[list[tuple[int, float]]] = [[] for _ in ix.terms]
     for n, bag in enumerate(bags):
         length = sum(bag.values())
-        raw = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in bag.items()}
+        raw = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for t, f in bag.items()}
         whole = sum(raw.values())
         for t, v in raw.items():
             postings[ix.terms[t]].append((n, v / whole))
@@ -219,14 +220,39 @@ def search(ix: Index, texts: list[bytes]) -> Iterator[tuple[int, int, float, flo
             yield first + t, item, *v
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each item, and for each item its length with a null term."""
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            q, a = split_item(text or "")
+            if q:
+                terms = [None, *set(q + a)]
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([len(q) + len(a)] + [0] * (len(terms) - 1), pa.int64())], names=["term", "length"])
+
+
+def frequencies(items: DataFrame) -> DataFrame:
+    """term, df: items with each term; for the null term, all items and their length."""
+    terms = items.select("text").mapInArrow(_terms, "term binary, length long")
+    return materialize(terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")))
+
+
+def part_of(counted: DataFrame, own: DataFrame) -> tuple[int, float, dict[bytes, int]]:
+    """Count and mean length of all items, and the document frequencies of own's terms among all."""
+    every = counted.filter("term IS NULL").first()
+    mine = own.select("text").mapInArrow(_terms, "term binary, length long").select("term").distinct()
+    df = {bytes(r.term): r.df for r in counted.join(mine, "term").select("term", "df").collect()}
+    return (every.df, every.length / every.df, df) if every else (0, 0.0, df)
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, __gw_th, item_id, score, shingle_overlap, question_overlap, answer_overlap) for every verified hit."""
     n = items.count()
     groups = max(1, -(-n // MAX_ITEMS))
-    found = None
+    found, counted = None, frequencies(items) if groups > 1 else None
     for g in range(groups):
         own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        ix = build(sorted(((r.item_id, r.text) for r in own.select("item_id", "text").collect()), key=repr))
+        rows = sorted(((r.item_id, r.text) for r in own.select("item_id", "text").collect()), key=repr)
+        ix = build(rows, part_of(counted, own) if counted is not None else None)
         part = _hits_of(docs, ix)
         found = part if found is None else found.unionByName(part)
     return found

@@ -358,6 +358,19 @@ def test_items_longer_than_a_stride(spark):
     assert sorted(r.doc_id for r in decontamination.hits(d, items).filter("item_id = 1").collect()) == list(range(12))
 
 
+def test_scores_do_not_depend_on_groups_of_items(spark, monkeypatch):
+    rnd = random.Random(17)
+    vocabulary = ["w%d" % int(rnd.paretovariate(0.5)) for _ in range(2000)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(12, 40)))) for i in range(40)] + [(99, None)]
+    rows = [(i, " ".join([*rnd.choices(vocabulary, k=50), *t.split()[: -1 - i % 2], *rnd.choices(vocabulary, k=50)])) for i, t in items[:40]]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (20_000, 7):
+        monkeypatch.setattr(decontamination, "MAX_ITEMS", most)
+        found.append({(r.doc_id, r.item_id): r.score for r in decontamination.hits(d, b).collect()})
+    assert len(found[0]) > 20 and found[1] == pytest.approx(found[0])
+
+
 def test_wand_loses_nothing():
     rnd = random.Random(9)
     vocabulary = ["w%d" % int(rnd.paretovariate(0.7)) for i in range(2000)]
