@@ -1,281 +1,320 @@
 """Operator 3: cross-entropy difference (Moore and Lewis 2010) with matched n-gram models.
 
-Two interpolated bigram models, of the target texts and of the background (all
-texts), share one vocabulary, order and smoothing:
-
-    p(w | v) = (c(v w) + MU * p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V),
-
-and a document's score is its mean loss per token under the target model less that
-under the background model; lower is closer to the target.
-
-Words are counted over all texts; those with MIN_COUNT places, or one in a target text,
-have their own entry, and the others become the unknown word of both models. Bigrams over
-that vocabulary have an entry by the same rule; the others back off to the unigram. The
-rule does not depend on the size of the input.
-
-Tables of up to ENTRIES words and PAIRS bigrams are collected and broadcast, and texts are
-scored where they are. Larger ones stay written tables: the bigrams of each document, summed
-in it, meet them in shuffled joins. Both ways give the same scores. Each task sums its
-counts before they are shuffled.
-
-Cases: null and empty texts have no token, score 0 and null losses; a target
-without texts leaves the target model uniform; null ids are scored and are no
-target; repeated target ids count once; an empty corpus gives no rows.
+Two bigram models, of the target texts and of the background (all texts), share one
+vocabulary (every word of the corpus), order and smoothing. With counts c and tokens N of a
+model, and p(w) the share of w among all tokens of the corpus,
+
+    P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + LAMBDA * p(w)) / (N + LAMBDA),
+
+where the start of a text counts as a word before it. A document's score is its mean loss per
+token under the target model less that under the background model; lower is closer to the
+target. Every word and every bigram has its own count, however rare: nothing is cut, and the
+tables grow with the corpus.
+
+They are never gathered. The loss of w after v is -log(c(v w) + MU P(w)) + log(c(v) + MU); the
+first part needs the bigrams that end in w, the second the count of v alone. So each word's rows
+(word, word before, document, count) meet once, in a bucket of the word: there c(w), and so P(w),
+and all c(v w) are known, and each document gets the first part of its tokens w and the second
+part of the tokens after w. What documents get is summed in each bucket, then over the buckets.
+Rows of a task are summed by document first and go as packed blocks, one for each bucket.
+
+Words and bigrams that hold more than 1/HOT of a sample's rows (a bounded number) are counted in
+a pass of their own and broadcast: hot words are spread over all buckets by the word before,
+and hot bigrams need no row at all. The sample only decides where rows go, never a count.
+
+Words and documents (id and text) are known by 64-bit hashes.
+
+Cases: null and empty texts have no token, score 0 and null losses; a target without texts leaves
+P(w) = p(w) to the target model; null ids are scored and are no target; repeated target ids count
+once; repeated rows get equal scores; texts of any length are read whole; extra columns are carried
+along; an empty corpus gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphward.llm.common import materialize, maybe_broadcast, ship, table, wider
+from glyphward.llm.common import maybe_broadcast, ship, table
 
 ship(__name__)
 
-DETAIL, MIN_COUNT, MU = 2000, 3, 5.0
-#: Most words and most bigrams that are broadcast.
-ENTRIES, PAIRS = 1_000_000, 4_000_000
-#: The unknown word and the start of a text, neither of which is a word, in the shuffled joins.
-UNKNOWN, START = b"", b" "
-#: Distinct words, and tokens, that a task sums up before it passes them on.
-WORDS, CHUNK = 400_000, 2_000_000
-
-
-def least(tokens: int, detail: float = DETAIL) -> int:
-    """Places that would keep a table within DETAIL * N^(1/3) entries; no entry is dropped by it."""
-    return max(MIN_COUNT, int(np.ceil(round(tokens ** (2 / 3) / detail, 6))))
+MU, LAMBDA = 5.0, 2000.0
+#: Texts sampled for hot words and bigrams; a hot one has over 1/HOT of the sample's rows.
+SAMPLE_TEXTS, HOT = 4000, 4096
+#: Tokens of a task that are summed by document at once, and rows of a bucket.
+CHUNK, BUCKET_ROWS = 1_000_000, 2_000_000
+#: Stand for the start of a text, and for "no word follows", in the place of the word before.
+START, LAST = np.uint64(1), np.uint64(2)
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, target = Counter(), Counter()
-
-    def flush():
-        keys = list(every)
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([every[k] for k in keys], pa.int64()), pa.array([target[k] for k in keys], pa.int64())], names=["key", "c_all", "c_target"])
-        every.clear()
-        target.clear()
-        return out
+def word_hashes(w: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x) for x in w), np.uint64, len(w))
 
-    for b in batches:
-        for text, t in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = words(text)
-            every.update(w)
-            if t:
-                target.update(w)
-            if len(every) >= WORDS:
-                yield flush()
-    yield flush()
 
+@dataclass
+class Hot:
+    """Hot words and bigrams (by hash, ascending) with counts of the target and of all texts, and the totals."""
 
-class Ids:
-    """Texts to word ids: 1 for the unknown word, 2 and up for the vocabulary; 0 stands before each text."""
-
-    def __init__(self, vocabulary: list[bytes]):
-        self.get = {w: k + 2 for k, w in enumerate(vocabulary)}.get
+    words: np.ndarray
+    pairs: np.ndarray
+    word_counts: np.ndarray  # (2, words)
+    pair_counts: np.ndarray  # (2, pairs)
+    tokens: np.ndarray  # (2,)
+    texts: np.ndarray  # (2,)
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        w = words(text)
-        return np.fromiter(map(self.get, w, repeat(1)), np.int64, len(w))
+    def word(self, h: np.ndarray) -> np.ndarray:
+        return _place(self.words, h)
 
+    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _place(self.pairs, pair_hash(v, w))
 
-def _before(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The id before each one, 0 at the start of a text."""
-    v = np.zeros_like(ids)
-    v[1:] = ids[:-1]
-    starts = np.cumsum(lengths) - lengths
-    v[starts[lengths > 0]] = 0
-    return v
 
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (v ^ (v >> np.uint64(29))) * _ODD + w
+    return (x ^ (x >> np.uint64(32))) * _ODD
 
-def _in_chunks(texts: list, ids: Ids) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(number of the first text, ids of each) for runs of about CHUNK tokens."""
-    first, kept, size = 0, [], 0
-    for k, t in enumerate(texts):
-        kept.append(ids.of(t))
-        size += len(kept[-1])
-        if size >= CHUNK or k + 1 == len(texts):
-            yield first, kept
-            first, kept, size = k + 1, [], 0
 
+def _place(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each of h is among known, -1 elsewhere."""
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)
 
-@dataclass
-class Models:
-    vocabulary: list[bytes]
-    unigrams: np.ndarray  # (2, words + 2): target and background, by word id
-    pairs: np.ndarray  # sorted keys: id before * (words + 2) + id
-    pair_counts: np.ndarray  # (2, pairs)
 
-    def losses(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each token under the target and the background model."""
-        n = len(self.vocabulary) + 2
-        key = before * n + ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out = []
-        for k in (0, 1):
-            c = self.unigrams[k]
-            uni = (c + 1.0) / (c[1:].sum() + n - 1)
-            pair = np.where(known, self.pair_counts[k][at], 0) if len(self.pairs) else 0.0
-            out.append(-np.log((pair + MU * uni[ids]) / (c[before] + MU)))
-        return out[0], out[1]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From batches of uid, target, text: uids, flags and lengths of non-empty texts, word hashes, and ids into them, token by token."""
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    uids, flags, parts, size = [], [], [], 0
 
+    def done():
+        h = word_hashes(list(place))
+        place.clear()
+        return np.array(uids, np.int64), np.array(flags, bool), np.array([len(x) for x in parts], np.int64), h, np.concatenate(parts)
 
-@dataclass
-class Tables:
-    """The models where they are too large to broadcast."""
-
-    words: DataFrame  # key, c_all, c_target
-    pairs: DataFrame  # v, w, c_all, c_target, over the vocabulary
-    tokens: tuple[int, int]  # all, target
-    unknown: tuple[int, int]
-    begins: tuple[int, int]
-    size: int  # words
-
-    def mapped(self, pairs: DataFrame) -> DataFrame:
-        """pairs (v, w and others) with the words (v2, w2) that stand for them and those's counts."""
-        sides = pairs
-        for x in ("w", "v"):
-            k = self.words.select(F.col("key").alias(x), F.lit(True).alias("known"), F.col("c_all").alias(f"{x}_all"), F.col("c_target").alias(f"{x}_target"))
-            start, known = F.col(x) == F.lit(START), F.col("known").isNotNull()
-            sides = sides.join(k, x, "left").withColumn(f"{x}2", F.when(start | known, F.col(x)).otherwise(F.lit(UNKNOWN)))
-            for i, name in enumerate((f"{x}_all", f"{x}_target")):
-                sides = sides.withColumn(name, F.when(start, F.lit(self.begins[i])).when(known, F.col(name)).otherwise(F.lit(self.unknown[i])))
-            sides = sides.drop("known")
-        return sides
-
-    def losses(self, pairs: DataFrame) -> DataFrame:
-        """(v, w) and the loss of w after v under the target (loss_target) and the background model (loss_all)."""
-        own = self.pairs.select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("c_all").alias("p_all"), F.col("c_target").alias("p_target"))
-        met = self.mapped(pairs).join(own, ["v2", "w2"], "left")
-        for i, x in enumerate(("all", "target")):
-            uni = (F.col(f"w_{x}") + 1.0) / F.lit(float(self.tokens[i] + self.size + 1))
-            met = met.withColumn(f"loss_{x}", -F.log((F.coalesce(f"p_{x}", F.lit(0)) + MU * uni) / (F.col(f"v_{x}") + MU)))
-        return met.select("v", "w", "loss_target", "loss_all")
-
-
-def kept(counts: DataFrame) -> DataFrame:
-    return counts.filter((F.col("c_all") >= MIN_COUNT) | (F.col("c_target") > 0))
-
-
-def _own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(own, v, w, n) for the distinct pairs of each text; the batches have own and text."""
     for b in batches:
-        for own, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            w = words(text)
-            count = Counter(zip([START, *w], w))
-            if count:
-                v, w = zip(*count, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(v), pa.int64()), pa.array(v, pa.binary()), pa.array(w, pa.binary()), pa.array(list(count.values()), pa.int64())], names=["own", "v", "w", "n"])
-
+        for uid, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+            w = words(text.as_py())
+            if not w:
+                continue
+            uids.append(uid)
+            flags.append(flag)
+            parts.append(np.fromiter(map(place.__getitem__, w), np.int64, len(w)))
+            size += len(w)
+            if size >= CHUNK:
+                yield done()
+                uids, flags, parts, size = [], [], [], 0
+    if size:
+        yield done()
+
+
+def _before(w: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[np.cumsum(lengths) - lengths] = start
+    return v
 
-_PAIR = "own long, v binary, w binary, n long"
 
+def hot(d: DataFrame) -> Hot:
+    """d: __gw_uid, __gw_target, text."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, d.count()))
+    few = d.filter(F.pmod(F.col("__gw_uid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uids, _, lengths, h, w in _chunks(batches):
+            v = np.append(h, START)[_before(w, lengths, len(h))]
+            doc = np.repeat(np.arange(len(uids), dtype=np.uint64), lengths)
+            once = np.unique(np.stack([doc, v, h[w]]), axis=1)
+            for pair, key in ((False, once[2]), (True, pair_hash(once[1], once[2]))):
+                k, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([pair] * len(k), pa.bool_()), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "key", "n"])
+
+    found = few.mapInArrow(candidates, "pair boolean, key long, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+    rows = found.withColumn("total", F.sum(F.when(~F.col("pair"), F.col("n"))).over(Window.partitionBy())).filter(F.col("n") * HOT > F.col("total")).collect()
+    chosen = [np.sort(np.array([r.key for r in rows if r.pair == p], np.int64).view(np.uint64)) for p in (False, True)]
+    shared = d.sparkSession.sparkContext.broadcast(chosen)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_words, hot_pairs = shared.value
+        out = np.zeros((2, 2 + len(hot_words) + len(hot_pairs)), np.int64)
+        for uids, flags, lengths, h, w in _chunks(batches):
+            of_word = _place(hot_words, h)
+            t = np.repeat(flags, lengths)
+            v = _before(w, lengths, len(h))
+            p = _place(hot_pairs, pair_hash(np.append(h, START)[v], h[w]))
+            for side, own, n_texts in ((0, t, flags.sum()), (1, np.ones(len(w), bool), len(uids))):
+                out[side, 0] += own.sum()
+                out[side, 1] += n_texts
+                for first, at in ((2, of_word[w]), (2 + len(hot_words), p)):
+                    n = np.bincount(at[own & (at >= 0)])
+                    out[side, first : first + len(n)] += n
+        some = np.flatnonzero(out[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[0, some]), pa.array(out[1, some])], names=["k", "c_target", "c_all"])
+
+    c = np.zeros((2, 2 + len(chosen[0]) + len(chosen[1])), np.int64)
+    for r in d.mapInArrow(counts, "k long, c_target long, c_all long").groupBy("k").agg(F.sum("c_target"), F.sum("c_all")).collect():
+        c[:, r[0]] = r[1:]
+    n = 2 + len(chosen[0])
+    return Hot(*chosen, c[:, 2:n], c[:, n:], c[:, 0], c[:, 1])
+
+
+_BLOCK = "bucket int, xs binary, runs binary, vs binary, docs binary, ns binary, uids binary, flags binary, sums binary"
+_NAMES = [x.split(" ")[0] for x in _BLOCK.split(", ")]
+
+
+def _log_first(c_pair: np.ndarray, c_word: np.ndarray, c_all: np.ndarray, tokens: int, tokens_all: int) -> np.ndarray:
+    """-log(c(v w) + MU P(w)) of one model."""
+    p = c_all / tokens_all
+    return -np.log(c_pair + MU * (c_word + LAMBDA * p) / (tokens + LAMBDA))
+
+
+def _spread(shared, buckets: int):
+    """Tokens of each chunk to blocks (_BLOCK): rows for buckets, and what is known of each document already."""
 
-def train(docs: DataFrame, target: DataFrame, entries: int = ENTRIES, most_pairs: int = PAIRS) -> Models | Tables:
-    """docs: doc_id, text; target: the doc_ids of the target texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot(**shared.value)
+        for uids, flags, lengths, h, w in _chunks(batches):
+            n_docs, n_words = len(uids), len(h) + 2
+            doc = np.repeat(np.arange(n_docs), lengths)
+            last = np.cumsum(lengths) - 1
+            key = np.concatenate([(w * n_words + _before(w, lengths, len(h))) * n_docs + doc, (w[last] * n_words + len(h) + 1) * n_docs + np.arange(n_docs)])
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n, key = np.diff(np.r_[first, len(key)]), key[first]
+            pair, doc = key // n_docs, (key % n_docs).astype(np.int32)
+            x, v = pair // n_words, pair % n_words
+            hv = np.concatenate([h, [START, LAST]])
+            is_last, of_word = v == len(h) + 1, hot.word(h)[x]
+            at = hot.pair(hv[v], h[x])
+            known = (at >= 0) & ~is_last
+            sums = np.zeros((3, n_docs))  # losses of the target and of all, tokens
+            sums[2] = lengths
+            for side in (0, 1):
+                sums[side] = np.log(hot.texts[side] + MU)
+                k = np.flatnonzero(known)
+                c, c_all = hot.word_counts[side][of_word[k]], hot.word_counts[1][of_word[k]]
+                loss = _log_first(hot.pair_counts[side][at[k]], c, c_all, hot.tokens[side], hot.tokens[1]) + np.log(c + MU)
+                sums[side] += np.bincount(doc[k], n[k] * loss, n_docs)
+            keep = ~known
+            x, v, doc, n, of_word = x[keep], v[keep], doc[keep], n[keep], of_word[keep]
+            hx, hv = h[x], hv[v]
+            bucket = (np.where(of_word >= 0, pair_hash(hv, hx), hx * _ODD) >> np.uint64(8)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order].astype(np.int64)
+            hx, hv, doc, n = hx[order], hv[order], doc[order], n[order].astype(np.uint32)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], np.int64)
+            rows = [[int(uids[0]) % buckets, *[b""] * 5, uids.tobytes(), flags.tobytes(), sums.tobytes()]]
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                run = np.flatnonzero(np.r_[True, hx[s + 1 : e] != hx[s : e - 1]])
+                mine, local = np.unique(doc[s:e], return_inverse=True)
+                narrow = np.uint16 if len(mine) < 1 << 16 else np.uint32
+                rows.append([int(bucket[s]), hx[s:e][run].tobytes(), np.diff(np.r_[run, e - s]).astype(np.uint32).tobytes(), hv[s:e].tobytes(), local.astype(narrow).tobytes(), n[s:e].tobytes(), uids[mine].tobytes(), flags[mine].tobytes(), None])
+                if len(rows) >= 256:
+                    yield _blocks(rows)
+                    rows = []
+            if rows:
+                yield _blocks(rows)
+
+    return run
+
+
+def _blocks(rows: list[list]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
+
+
+def _meet(shared):
+    """Blocks of one bucket to what each of their documents gets: uid, sums of losses, tokens, copies."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        hot = Hot(**shared.value)
+        hx, hv, uid, flag, n, ready = [], [], [], [], [], []
+        for _, xs, runs, vs, docs, ns, uids, flags, sums in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
+            uids, flags = np.frombuffer(uids, np.int64), np.frombuffer(flags, bool)
+            if sums is not None:
+                ready.append((uids, np.frombuffer(sums, float).reshape(3, -1)))
+                continue
+            own = np.frombuffer(docs, np.uint16 if len(uids) < 1 << 16 else np.uint32)
+            hx.append(np.repeat(np.frombuffer(xs, np.uint64), np.frombuffer(runs, np.uint32)))
+            hv.append(np.frombuffer(vs, np.uint64))
+            uid.append(uids[own])
+            flag.append(flags[own])
+            n.append(np.frombuffer(ns, np.uint32))
+        ids, values = [u for u, _ in ready], [s for _, s in ready]
+        copies = [np.ones(len(u)) for u in ids]
+        if hx:
+            hx, hv, uid, flag, n = (np.concatenate(c) for c in (hx, hv, uid, flag, n))
+            order = np.lexsort((hv, hx))
+            hx, hv, uid, flag, n = hx[order], hv[order], uid[order], flag[order], n[order].astype(np.int64)
+            new_x = np.r_[True, hx[1:] != hx[:-1]]
+            new_p = new_x | np.r_[True, hv[1:] != hv[:-1]]
+            of_x, of_p = np.cumsum(new_x) - 1, np.cumsum(new_p) - 1
+            heads = hx[new_x]
+            at = hot.word(heads)
+            token = hv != LAST
+            c_word, c_pair = [], []
+            for side in (0, 1):
+                c = np.where(token & flag, n, 0) if side == 0 else np.where(token, n, 0)
+                own = np.bincount(of_x, c, len(heads))
+                known = np.flatnonzero(at >= 0)
+                own[known] = hot.word_counts[side][at[known]]
+                c_word.append(own[of_x])
+                c_pair.append(np.bincount(of_p, c)[of_p])
+            sums = np.zeros((3, len(n)))
+            for side in (0, 1):
+                after = np.log(c_word[side] + MU)
+                head = _log_first(c_pair[side], c_word[side], np.maximum(c_word[1], 1), hot.tokens[side], hot.tokens[1])
+                sums[side] = np.where(token, n * (head + after), -after)
+            ids.append(uid)
+            values.append(sums)
+            copies.append(np.zeros(len(uid)))
+        each, own = np.unique(np.concatenate(ids), return_inverse=True)
+        values, copies = np.concatenate(values, axis=1), np.concatenate(copies)
+        t, g, tokens = (np.bincount(own, v, len(each)) for v in values)
+        return pa.Table.from_arrays([pa.array(each), pa.array(t), pa.array(g), pa.array(tokens.astype(np.int64)), pa.array(np.bincount(own, copies, len(each)).astype(np.int32))], names=["__gw_own", "t", "g", "n", "copies"])
+
+    return run
+
+
+def cross_entropy(docs: DataFrame, target: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs (with doc_id, text) and __gw_tokens, __gw_target_loss, __gw_background_loss (nats per token), __gw_score, their difference.
+
+    target: the doc_ids of the target texts.
+    """
     sc = docs.sparkSession.sparkContext
     mine = target.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gw_id"), F.lit(True).alias("__gw_target")).distinct()
-    d = docs.select("doc_id", "text").join(maybe_broadcast(mine), F.col("doc_id") == F.col("__gw_id"), "left")
-    d = d.select("text", F.coalesce("__gw_target", F.lit(False)).alias("__gw_target"))
-    sums = [F.sum("c_all").alias("c_all"), F.sum("c_target").alias("c_target")]
-    unigrams = materialize(d.mapInArrow(_word_counts, "key binary, c_all long, c_target long").groupBy("key").agg(*sums))
-    texts = d.filter(F.length("text") > 0).groupBy("__gw_target").count().collect()
-    total, total_target = unigrams.agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.coalesce(F.sum("c_target"), F.lit(0))).first()
-    begins = np.array([sum(r[1] for r in texts if r[0]), sum(r[1] for r in texts)], np.int64)
-    held = kept(unigrams)
-    n_held, n_all, n_target = held.agg(F.count("*"), F.coalesce(F.sum("c_all"), F.lit(0)), F.coalesce(F.sum("c_target"), F.lit(0))).first()
-
-    def tables() -> Tables:
-        out = Tables(held, held, (total, total_target), (total - n_all, total_target - n_target), (int(begins[1]), int(begins[0])), n_held)
-        raw = d.select(F.col("__gw_target").cast("long").alias("own"), "text").mapInArrow(_own_pairs, _PAIR)
-        raw = materialize(raw.groupBy("v", "w").agg(F.sum("n").alias("c_all"), F.sum(F.col("n") * F.col("own")).alias("c_target")))
-        out.pairs = materialize(kept(out.mapped(raw).groupBy(F.col("v2").alias("v"), F.col("w2").alias("w")).agg(*sums)))
-        return out
-
-    if n_held > entries:
-        return tables()
-    found = held.toArrow().sort_by("key")
-    vocabulary = found.column("key").to_pylist()
-    known = np.array([found.column(x).to_numpy() for x in ("c_target", "c_all")], np.int64).reshape(2, -1)
-    unknown = np.array([total_target, total]) - known.sum(1)
-    counts = np.concatenate([begins[:, None], unknown[:, None], known], axis=1)
-    shared, n = sc.broadcast(vocabulary), len(vocabulary) + 2
-
-    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(shared.value)
-        for b in batches:
-            flags = np.array(b.column(1).to_pylist(), bool)
-            for first, kept in _in_chunks(b.column(0).cast(pa.binary()).to_pylist(), ids):
-                lengths = np.array([len(x) for x in kept], np.int64)
-                w = np.concatenate(kept)
-                key = (_before(w, lengths) * n + w) * 2 + np.repeat(flags[first : first + len(kept)], lengths)
-                key.sort()
-                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], np.int64)
-                c, k = np.diff(np.r_[start, len(key)]), key[start]
-                yield pa.RecordBatch.from_arrays([pa.array(k // 2), pa.array(c), pa.array(np.where(k % 2 == 1, c, 0))], names=["key", "c_all", "c_target"])
-
-    pairs = materialize(kept(d.mapInArrow(pair_counts, "key long, c_all long, c_target long").groupBy("key").agg(*sums)))
-    if pairs.count() > most_pairs:
-        return tables()
-    pairs = pairs.toArrow()
-    key = pairs.column("key").to_numpy().astype(np.int64)
-    at = np.argsort(key)
-    both = np.stack([pairs.column(x).to_numpy().astype(np.int64) for x in ("c_target", "c_all")])
-    return Models(vocabulary, counts, key[at], both[:, at])
-
-
-def score_joined(docs: DataFrame, models: Tables) -> DataFrame:
-    """score() by shuffled joins of each document's bigrams."""
-    rows = materialize(docs.withColumn("__gw_uid", F.monotonically_increasing_id()))
-    pairs = materialize(rows.select("__gw_uid", "text").mapInArrow(_own_pairs, _PAIR))
-    loss = models.losses(pairs.select("v", "w").distinct())
-    sums = [F.sum(F.col("n") * F.col(f"loss_{x}")).alias(f"sum_{x}") for x in ("target", "all")]
-    own = pairs.join(loss, ["v", "w"]).groupBy("own").agg(F.sum("n").alias("n"), *sums)
-    met = rows.join(own.withColumnRenamed("own", "__gw_uid"), "__gw_uid", "left")
-    t, g = F.col("sum_target") / F.col("n"), F.col("sum_all") / F.col("n")
-    return met.select(*docs.columns, F.coalesce("n", F.lit(0)).alias("__gw_tokens"), t.alias("__gw_target_loss"), g.alias("__gw_background_loss"), F.coalesce(t - g, F.lit(0.0)).alias("__gw_score"))
-
-
-def score(docs: DataFrame, models: Models | Tables) -> DataFrame:
-    """docs with __gw_tokens, __gw_target_loss, __gw_background_loss (nats per token) and __gw_score, their difference."""
-    if isinstance(models, Tables):
-        return score_joined(docs, models)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(models))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Models(**shared.value)
-        ids = Ids(m.vocabulary)
-        for b in batches:
-            n, t, g = [np.array([], np.int64)], [np.array([])], [np.array([])]
-            for _, kept in _in_chunks(b.column(at).cast(pa.binary()).to_pylist(), ids):
-                lengths = np.array([len(x) for x in kept], np.int64)
-                owner = np.repeat(np.arange(len(kept)), lengths)
-                w = np.concatenate(kept)
-                n.append(lengths)
-                for out, loss in zip((t, g), m.losses(w, _before(w, lengths)), strict=True):
-                    out.append(np.bincount(owner, loss, len(kept)) / np.maximum(1, lengths))
-            n, t, g = np.concatenate(n), np.concatenate(t), np.concatenate(g)
-            arrays = [pa.array(n), pa.array(t, mask=n == 0), pa.array(g, mask=n == 0), pa.array(t - g)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, "__gw_tokens", "__gw_target_loss", "__gw_background_loss", "__gw_score"])
-
-    return docs.mapInArrow(run, wider(docs, __gw_tokens="long", __gw_target_loss="double", __gw_background_loss="double", __gw_score="double"))
+    uid = F.xxhash64("doc_id", "text")
+    d = docs.select("doc_id", uid.alias("__gw_uid"), "text").join(maybe_broadcast(mine), F.col("doc_id") == F.col("__gw_id"), "left")
+    d = d.select("__gw_uid", F.coalesce("__gw_target", F.lit(False)).alias("__gw_target"), "text")
+    found = hot(d)
+    shared = sc.broadcast(vars(found))
+    buckets = max(1, -(-int(found.tokens[1]) // bucket_rows))
+    blocks = d.mapInArrow(_spread(shared, buckets), _BLOCK)
+    parts = blocks.groupBy("bucket").applyInArrow(_meet(shared), "__gw_own long, t double, g double, n long, copies int")
+    sums = parts.groupBy("__gw_own").agg(F.sum("t").alias("__gw_t"), F.sum("g").alias("__gw_g"), F.sum("n").alias("__gw_n"), F.sum("copies").alias("__gw_copies"))
+    met = docs.withColumn("__gw_uid", uid).join(sums, F.col("__gw_uid") == F.col("__gw_own"), "left")
+    t, g = F.col("__gw_t") / F.col("__gw_n"), F.col("__gw_g") / F.col("__gw_n")
+    tokens = F.coalesce((F.col("__gw_n") / F.col("__gw_copies")).cast("long"), F.lit(0))
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns), tokens.alias("__gw_tokens"), t.alias("__gw_target_loss"), g.alias("__gw_background_loss"), F.coalesce(t - g, F.lit(0.0)).alias("__gw_score"))
 
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by its loss difference between texts labelled good (target) and all texts (background)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
-    out = score(docs, train(docs, good.select("doc_id")))
+    out = cross_entropy(docs, good.select("doc_id"))
     return out.select("doc_id", F.col("__gw_tokens").alias("tokens"), F.col("__gw_target_loss").alias("target_loss"), F.col("__gw_background_loss").alias("background_loss"), F.col("__gw_score").alias("score"))

@@ -96,49 +96,60 @@ def test_toxicity(spark):
     assert toxicity.score(d, none).count() == len(rows) + 2
 
 
-def test_lm(spark):
+def plain_losses(rows, target, mu=lm_scoring.MU, lam=lm_scoring.LAMBDA):
+    """Both losses of each (id, text), counted and summed word by word."""
+    models = []
+    for own in (lambda i: i in target, lambda i: True):
+        words, pairs, starts = Counter(), Counter(), 0
+        for i, t in rows:
+            w = (t or "").lower().split()
+            if own(i) and w:
+                words.update(w)
+                pairs.update(zip([None, *w], w))
+                starts += 1
+        models.append((words, pairs, starts))
+    every, n_all = models[1][0], sum(models[1][0].values())
+    out = []
+    for i, t in rows:
+        w, losses = (t or "").lower().split(), []
+        for words, pairs, starts in models:
+            n = sum(words.values())
+            p = lambda x: (words[x] + lam * every[x] / n_all) / (n + lam)  # noqa: B023, E731
+            losses.append(np.mean([-np.log((pairs[v, x] + mu * p(x)) / ((starts if v is None else words[v]) + mu)) for v, x in zip([None, *w], w)]) if w else None)
+        out.append((i, len(w), *losses))
+    return out
+
+
+def test_lm(spark, monkeypatch):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choices(WORDS[:10] if i % 2 else WORDS[8:], k=40))) for i in range(300)]
-    d = spark.createDataFrame([*rows, (None, None), (901, "")], "doc_id long, text string")
+    rows += [(400 + i, " ".join(["rare", *rnd.choices(WORDS, k=3), "once%d" % i])) for i in range(5)] + [(500, "Hot " * 5000), (501, "alpha"), (None, "alpha beta"), (None, None), (901, ""), rows[4], rows[4], (902, "\t ")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
     target = d.filter("doc_id % 2 = 1 AND doc_id < 200").select("doc_id")
-    out = {r.doc_id: r for r in lm_scoring.score(d, lm_scoring.train(d, target)).collect()}
-    assert max(out[i]["__gw_score"] for i in range(201, 300, 2)) < min(out[i]["__gw_score"] for i in range(200, 300, 2))
-    assert out[901]["__gw_score"] == 0 and out[901]["__gw_target_loss"] is None
-    # Plain version of the background loss of one text.
-    words, pairs = Counter(), Counter()
-    for _, t in rows:
-        w = t.split()
-        words.update(w)
-        pairs.update(zip([None, *w], w))
-    n, v = sum(words.values()), len(words)
-    w = rows[7][1].split()
-    loss = [-np.log((pairs[p, x] + 5 * (words[x] + 1) / (n + v + 1)) / ((len(rows) if p is None else words[p]) + 5)) for p, x in zip([None, *w], w)]
-    assert out[7]["__gw_background_loss"] == pytest.approx(np.mean(loss))
-    assert lm_scoring.score(d.limit(0), lm_scoring.train(d.limit(0), target)).count() == 0
-
-
-def test_tables_grow_within_their_bound():
-    sizes = [10**k for k in range(3, 15)]
-    most = [n / lm_scoring.least(n) for n in sizes]
-    assert all(a < b for a, b in zip(most, most[1:])) and all(m <= lm_scoring.DETAIL * n ** (1 / 3) * (1 + 1e-9) for m, n in zip(most, sizes))
-
-
-def test_lm_keeps_rare_target_words_whatever_the_background(spark):
-    """A word of the target keeps its entry as background is added, and both ways of scoring agree."""
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(plain_losses(rows, set(range(1, 200, 2))), key=key)
+    for hot, bucket_rows in ((lm_scoring.HOT, lm_scoring.BUCKET_ROWS), (20, 300), (1, 97)):
+        monkeypatch.setattr(lm_scoring, "HOT", hot)
+        found = lm_scoring.cross_entropy(d, target.union(target), bucket_rows).collect()
+        got = sorted(((r.doc_id, r["__gw_tokens"], r["__gw_target_loss"], r["__gw_background_loss"]) for r in found), key=key)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        for g, w in zip(got, want, strict=True):
+            assert (g[2:] == (None, None)) if w[2] is None else g[2:] == pytest.approx(w[2:])
+        assert all(r["__gw_score"] == pytest.approx((r["__gw_target_loss"] or 0) - (r["__gw_background_loss"] or 0)) and r.score == "x" for r in found)
+    out = {r.doc_id: r["__gw_score"] for r in found}
+    assert max(out[i] for i in range(201, 300, 2)) < min(out[i] for i in range(200, 300, 2))
+    assert lm_scoring.cross_entropy(d.limit(0), target).count() == 0
+
+
+def test_lm_scores_stay_with_a_rare_term_whatever_the_background(spark):
+    """A term of the target marks its texts as background is added; nothing is cut by the size of the input."""
     rnd = random.Random(16)
     rows = [(i, " ".join([*rnd.choices(WORDS, k=20), *(["rare", "term"] if i < 4 else ["once%d" % i])])) for i in range(60)]
     more = [(1000 + i, " ".join(rnd.choices(WORDS, k=2000))) for i in range(600)]
-    small, large = (spark.createDataFrame([*x, (None, None), (901, "")], "doc_id long, text string") for x in (rows, rows + more))
-    target = small.filter("doc_id < 4").select("doc_id")
-    for d in (small, large):
-        models = lm_scoring.train(d, target)
-        assert b"rare" in models.vocabulary and b"once7" not in models.vocabulary
-        out = {r.doc_id: r for r in lm_scoring.score(d, models).collect()}
-        for limits in ((0, 10**9), (10**9, 0)):
-            joined = lm_scoring.train(d, target, *limits)
-            assert isinstance(joined, lm_scoring.Tables)
-            for r in lm_scoring.score(d, joined).collect():
-                assert tuple(r)[2:] == pytest.approx(tuple(out[r.doc_id])[2:])
+    for x in (rows, rows + more):
+        d = spark.createDataFrame(x, "doc_id long, text string")
+        out = {r.doc_id: r["__gw_score"] for r in lm_scoring.cross_entropy(d, d.filter("doc_id < 4").select("doc_id"), 5000).collect()}
+        assert max(out[i] for i in range(4)) < min(v for i, v in out.items() if i >= 4)
 
 
 def test_top_k(spark):
