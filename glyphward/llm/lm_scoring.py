@@ -22,7 +22,7 @@ Words and bigrams that hold more than 1/HOT of a sample's rows (a bounded number
 a pass of their own and broadcast: hot words are spread over all buckets by the word before,
 and hot bigrams need no row at all. The sample only decides where rows go, never a count.
 
-Words and documents (id and text) are known by 64-bit hashes.
+Words and documents (id and text) are known by 64-bit hashes, the words before one word by 48 bits.
 
 Cases: null and empty texts have no token, score 0 and null losses; a target without texts leaves
 P(w) = p(w) to the target model; null ids are scored and are no target; repeated target ids count
@@ -50,7 +50,7 @@ MU, LAMBDA = 5.0, 2000.0
 #: Texts sampled for hot words and bigrams; a hot one has over 1/HOT of the sample's rows.
 SAMPLE_TEXTS, HOT = 4000, 4096
 #: Tokens of a task that are summed by document at once, and rows of a bucket.
-CHUNK, BUCKET_ROWS = 1_000_000, 2_000_000
+CHUNK, BUCKET_ROWS = 1_000_000, 1_500_000
 #: Stand for the start of a text, and for "no word follows", in the place of the word before.
 START, LAST = np.uint64(1), np.uint64(2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
@@ -172,7 +172,7 @@ def hot(d: DataFrame) -> Hot:
     return Hot(*chosen, c[:, 2:n], c[:, n:], c[:, 0], c[:, 1])
 
 
-_BLOCK = "bucket int, xs binary, runs binary, vs binary, docs binary, ns binary, uids binary, flags binary, sums binary"
+_BLOCK = "bucket int, xs binary, runs binary, low binary, high binary, docs binary, ns binary, uids binary, flags binary, sums binary"
 _NAMES = [x.split(" ")[0] for x in _BLOCK.split(", ")]
 
 
@@ -217,12 +217,12 @@ def _spread(shared, buckets: int):
             bucket = bucket[order].astype(np.int64)
             hx, hv, doc, n = hx[order], hv[order], doc[order], n[order].astype(np.uint32)
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.array([], np.int64)
-            rows = [[int(uids[0]) % buckets, *[b""] * 5, uids.tobytes(), flags.tobytes(), sums.tobytes()]]
+            rows = [[int(uids[0]) % buckets, *[b""] * 6, uids.tobytes(), flags.tobytes(), sums.tobytes()]]
             for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
                 run = np.flatnonzero(np.r_[True, hx[s + 1 : e] != hx[s : e - 1]])
                 mine, local = np.unique(doc[s:e], return_inverse=True)
                 narrow = np.uint16 if len(mine) < 1 << 16 else np.uint32
-                rows.append([int(bucket[s]), hx[s:e][run].tobytes(), np.diff(np.r_[run, e - s]).astype(np.uint32).tobytes(), hv[s:e].tobytes(), local.astype(narrow).tobytes(), n[s:e].tobytes(), uids[mine].tobytes(), flags[mine].tobytes(), None])
+                rows.append([int(bucket[s]), hx[s:e][run].tobytes(), np.diff(np.r_[run, e - s]).astype(np.uint32).tobytes(), hv[s:e].astype(np.uint32).tobytes(), (hv[s:e] >> np.uint64(32)).astype(np.uint16).tobytes(), local.astype(narrow).tobytes(), n[s:e].tobytes(), uids[mine].tobytes(), flags[mine].tobytes(), None])
                 if len(rows) >= 256:
                     yield _blocks(rows)
                     rows = []
@@ -242,50 +242,49 @@ def _meet(shared):
 
     def run(blocks: pa.Table) -> pa.Table:
         hot = Hot(**shared.value)
-        hx, hv, uid, flag, n, ready = [], [], [], [], [], []
-        for _, xs, runs, vs, docs, ns, uids, flags, sums in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
-            uids, flags = np.frombuffer(uids, np.int64), np.frombuffer(flags, bool)
+        each = [np.frombuffer(x.as_py(), np.int64) for x in blocks.column("uids")]
+        each = np.unique(np.concatenate(each))
+        total, copies = np.zeros((3, len(each))), np.zeros(len(each), np.int32)
+        hx, hv, doc, n = [], [], [], []
+        target = np.zeros(len(each), bool)
+        for k in range(blocks.num_rows):
+            _, xs, runs, low, high, docs, ns, uids, flags, sums = (c[k].as_py() for c in blocks.columns)
+            at = np.searchsorted(each, np.frombuffer(uids, np.int64)).astype(np.int32)
+            target[at] = np.frombuffer(flags, bool)
             if sums is not None:
-                ready.append((uids, np.frombuffer(sums, float).reshape(3, -1)))
+                np.add.at(total, (slice(None), at), np.frombuffer(sums, float).reshape(3, -1))
+                np.add.at(copies, at, 1)
                 continue
-            own = np.frombuffer(docs, np.uint16 if len(uids) < 1 << 16 else np.uint32)
             hx.append(np.repeat(np.frombuffer(xs, np.uint64), np.frombuffer(runs, np.uint32)))
-            hv.append(np.frombuffer(vs, np.uint64))
-            uid.append(uids[own])
-            flag.append(flags[own])
+            hv.append(np.frombuffer(low, np.uint32) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+            doc.append(at[np.frombuffer(docs, np.uint16 if len(at) < 1 << 16 else np.uint32)])
             n.append(np.frombuffer(ns, np.uint32))
-        ids, values = [u for u, _ in ready], [s for _, s in ready]
-        copies = [np.ones(len(u)) for u in ids]
+        del blocks
         if hx:
-            hx, hv, uid, flag, n = (np.concatenate(c) for c in (hx, hv, uid, flag, n))
+            hx, hv, doc, n = map(np.concatenate, (hx, hv, doc, n))
             order = np.lexsort((hv, hx))
-            hx, hv, uid, flag, n = hx[order], hv[order], uid[order], flag[order], n[order].astype(np.int64)
-            new_x = np.r_[True, hx[1:] != hx[:-1]]
-            new_p = new_x | np.r_[True, hv[1:] != hv[:-1]]
-            of_x, of_p = np.cumsum(new_x) - 1, np.cumsum(new_p) - 1
-            heads = hx[new_x]
-            at = hot.word(heads)
+            hx, hv, doc, n = hx[order], hv[order], doc[order], n[order]
+            del order
+            new = np.r_[True, hx[1:] != hx[:-1]]
+            heads = hx[new]
+            of_x = (np.cumsum(new) - 1).astype(np.int32)
+            new[1:] |= hv[1:] != hv[:-1]
+            of_p = (np.cumsum(new) - 1).astype(np.int32)
             token = hv != LAST
-            c_word, c_pair = [], []
-            for side in (0, 1):
-                c = np.where(token & flag, n, 0) if side == 0 else np.where(token, n, 0)
-                own = np.bincount(of_x, c, len(heads))
-                known = np.flatnonzero(at >= 0)
-                own[known] = hot.word_counts[side][at[known]]
-                c_word.append(own[of_x])
-                c_pair.append(np.bincount(of_p, c)[of_p])
-            sums = np.zeros((3, len(n)))
-            for side in (0, 1):
-                after = np.log(c_word[side] + MU)
-                head = _log_first(c_pair[side], c_word[side], np.maximum(c_word[1], 1), hot.tokens[side], hot.tokens[1])
-                sums[side] = np.where(token, n * (head + after), -after)
-            ids.append(uid)
-            values.append(sums)
-            copies.append(np.zeros(len(uid)))
-        each, own = np.unique(np.concatenate(ids), return_inverse=True)
-        values, copies = np.concatenate(values, axis=1), np.concatenate(copies)
-        t, g, tokens = (np.bincount(own, v, len(each)) for v in values)
-        return pa.Table.from_arrays([pa.array(each), pa.array(t), pa.array(g), pa.array(tokens.astype(np.int64)), pa.array(np.bincount(own, copies, len(each)).astype(np.int32))], names=["__gw_own", "t", "g", "n", "copies"])
+            del hx, hv, new
+            at = hot.word(heads)
+            known = np.flatnonzero(at >= 0)
+            words = []
+            for counted in (token & target[doc], token):
+                words.append(np.bincount(of_x, np.where(counted, n, 0), len(heads)))
+                words[-1][known] = hot.word_counts[len(words) - 1][at[known]]
+            for side, counted in enumerate((token & target[doc], token)):
+                loss = np.bincount(of_p, np.where(counted, n, 0))[of_p]
+                loss = _log_first(loss, words[side][of_x], np.maximum(words[1], 1)[of_x], hot.tokens[side], hot.tokens[1])
+                after = np.log(words[side] + MU)[of_x]
+                total[side] += np.bincount(doc, np.where(token, n * (loss + after), -after), len(each))
+        t, g, tokens = total
+        return pa.Table.from_arrays([pa.array(each), pa.array(t), pa.array(g), pa.array(tokens.astype(np.int64)), pa.array(copies)], names=["__gw_own", "t", "g", "n", "copies"])
 
     return run
 

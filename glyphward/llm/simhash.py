@@ -25,9 +25,11 @@ texts are linked, whatever their length.
 
 Similar texts may still have fingerprints further apart (a copy with a footer, or cut
 short), so between the groups so found every other similar pair is found exactly, by
-prefix filtering: shingles have one order, common ones last, and a pair similar enough
-shares some of the first shingles of both. The fingerprints only spare that pass the
-pairs within large groups; what is linked does not depend on them.
+prefix filtering. First the texts are left out that share too few of their first shingles
+(by hash) with any other text. The shingles of the others are counted, ordered from rare
+to common, and a pair similar enough shares one of the first shingles of both. Texts of
+one shingle are linked in a star, not in pairs; the groups of these links are compared in
+blocks of whole shingle sets.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer than three words make one shingle; repeated rows and null ids stay (a
@@ -44,7 +46,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +56,9 @@ ship(__name__)
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 BLOCK = 2048
-NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 256, 4
+NEAR_SHINGLE, NEAR_RADIUS, SIMILAR, NEAR_BLOCK, WEIGHT_COUNT = 5, 7, 0.8, 1 << 19, 4
 #: Of the prefix filter: texts sampled for common shingles, how many of them make one common, and one more shared shingle for so many.
+#: NEAR_BLOCK: shingles of a block of a candidate group.
 LATE_TEXTS, COMMON, PREFIX_SHARE = 8000, 3, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Up to so many fingerprints, half of them makes a selective enough key; the links are the same either way.
@@ -246,21 +249,29 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> t
     left, right = [], []
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
-    start = np.cumsum(size) - size
-    own = np.zeros(len(values), np.int64)
+    mine = np.split(flat.astype(np.int32), np.cumsum(size)[:-1])
+    own = np.zeros(len(values), np.int32)
     waiting = np.ones(len(ids), bool)
+    rest = np.arange(len(ids))  # those looked at; thinned out as few of them still wait
+    flat, start = np.concatenate(mine), np.cumsum(size) - size
     for first in range(len(ids)):
         if not waiting[first]:
             continue
         waiting[first] = False
         todo = [first]
-        while todo and waiting.any():
+        while todo:
+            waits = waiting[rest]
+            n = np.count_nonzero(waits)
+            if not n:
+                break
+            if 2 * n < len(rest):
+                rest = rest[waits]
+                flat, start = np.concatenate([mine[k] for k in rest]), np.cumsum(size[rest]) - size[rest]
             a = todo.pop()
-            mine = flat[start[a] : start[a] + size[a]]
-            own[mine] = 1
+            own[mine[a]] = 1
             both = np.add.reduceat(own[flat], start)
-            own[mine] = 0
-            found = np.flatnonzero(waiting & (both >= similar * (size[a] + size - both) - 1e-9))
+            own[mine[a]] = 0
+            found = rest[(both >= similar * (size[a] + size[rest] - both) - 1e-9) & waiting[rest]]
             waiting[found] = False
             left += [int(ids[a])] * len(found)
             right += ids[found].tolist()
@@ -268,9 +279,9 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similar: float) -> t
     return left, right
 
 
-def near_links(members: DataFrame, block: int = NEAR_BLOCK, similar: float = SIMILAR) -> DataFrame:
-    """Edges (a, b), a < b, over members' texts (g, n of the group, __gw_th, sketch: the whole set) with the same components as all links."""
-    rows = members.withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("__gw_th"), F.col("nb")).cast("int"))
+def near_links(members: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Edges (a, b), a < b, over members' texts (g, nb blocks of the group, __gw_th, sketch: the whole set) with the same components as all links."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("__gw_th"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__gw_th", "sketch")
 
@@ -300,26 +311,26 @@ def near_links(members: DataFrame, block: int = NEAR_BLOCK, similar: float = SIM
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
     """doc_id, __gw_th (hash of the text), and __gw_root, equal for equal texts and for linked near copies."""
     d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("__gw_th"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([near_features((t.as_py() or b"").lower().split())[0] for t in b.column(2).cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "__gw_th", "__gw_fp"])
+            found = [near_features((t.as_py() or b"").lower().split()) for t in b.column(2).cast(pa.binary())]
+            fp, size = np.array([x for x, _ in found], np.uint64), np.array([len(x) for _, x in found], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(size)], names=["doc_id", "__gw_th", "__gw_fp", "size"])
 
-    kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType())])
+    kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType()), T.StructField("size", T.LongType())])
     narrow = materialize(d.mapInArrow(run, kind))
-    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("doc_id").alias("__gw_id")))
+    texts = materialize(narrow.groupBy("__gw_th").agg(F.min("__gw_fp").alias("__gw_fp"), F.min("doc_id").alias("__gw_id"), F.min("size").alias("size")))
     fps = texts.select("__gw_fp").distinct()
     roots = components(links(fps, NEAR_RADIUS, parts=2 if fps.count() <= HALVES else 1))
     first = F.coalesce("root", "__gw_fp").alias("g")
-    near = materialize(compared(d, texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_th", "__gw_id", first)))
+    near = materialize(compared(d, texts.join(roots.withColumnRenamed("node", "__gw_fp"), "__gw_fp", "left").select("__gw_th", "__gw_id", "size", first), block))
     known = components(near)
-    rest = materialize(texts.join(known.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("__gw_th", "__gw_id", F.coalesce("root", "__gw_th").alias("root")))
-    found = components(prefix_pairs(d, rest)).withColumnRenamed("node", "__gw_th")
-    more = compared(d, rest.select("__gw_th", "__gw_id").join(found, "__gw_th").select("__gw_th", "__gw_id", F.col("root").alias("g")))
+    rest = materialize(texts.join(known.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("__gw_th", "__gw_id", "size", F.coalesce("root", "__gw_th").alias("root")))
+    more = compared(d, candidates(d, rest), block)
     similar = components(near.union(more).distinct())
     return narrow.select("doc_id", "__gw_th").join(similar.withColumnRenamed("node", "__gw_th"), "__gw_th", "left").select("doc_id", "__gw_th", F.coalesce("root", "__gw_th").alias("__gw_root"))
 
@@ -331,107 +342,117 @@ def one_each(d: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("__gw_th", *(c for c in texts.columns if c not in ("__gw_th", "__gw_id")), "text")
 
 
-def late_shingles(d: DataFrame, texts: DataFrame) -> np.ndarray:
-    """Hashes of shingles that COMMON or more of about LATE_TEXTS sampled texts hold. They only set the order of shingles, any of which is right."""
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    return [near_features((t.as_py() or b"").lower().split())[1] for t in texts.cast(pa.binary())]
+
+
+def common_shingles(d: DataFrame, texts: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of shingles that COMMON or more of about LATE_TEXTS sampled texts hold.
+
+    That other texts hold them too is thus known; they last in the order of shingles. Any such set is right.
+    """
     share = min(1.0, LATE_TEXTS / max(1, texts.count()))
     few = texts.select("__gw_th", "__gw_id").filter(F.pmod(F.xxhash64("__gw_th"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(1).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(near_features((t.as_py() or b"").lower().split())[1].view(np.int64))], names=["key"])
+            for s in shingle_sets(b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
 
     common = one_each(d, few).mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON).select("key").toArrow()
     return np.sort(common.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _needed(n: np.ndarray | int) -> np.ndarray | int:
-    """Shared shingles of the prefixes that a pair must have, by the size of its smaller set."""
-    return 1 + n // PREFIX_SHARE
+def is_common(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(s), bool)
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
 
 
-def prefix(s: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in an order common to all sets: rare ones by hash, then those of late by hash.
+def partly_shared(d: DataFrame, shared) -> DataFrame:
+    """(__gw_th) of the texts that can have a similar one, by the first shingles of each set in ascending order.
 
-    A set similar to this one shares at least SIMILAR * n of its n shingles. The l-th of the shared
-    ones, in order, has all other shared ones behind it, so it is among the first
-    n - SIMILAR * n + l of this set, and likewise of the other: both prefixes hold l shared ones.
+    A set similar to this one shares SIMILAR * n or more of its n shingles. The l-th of the shared ones
+    has all other shared ones behind it, so it is among the first n - SIMILAR * n + l: of these
+    shingles, l must be in other texts too. One more is taken, as l grows with n: the l of the larger
+    of two sets can be one more than that of the smaller.
     """
-    n = len(s)
-    at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
-    is_late = late[at] == s if len(late) else np.zeros(n, bool)
-    return np.concatenate([s[~is_late], s[is_late]])[: n - math.ceil(SIMILAR * n - 1e-9) + int(_needed(n))]
-
-
-def prefix_pairs(d: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b), a < b, of texts (__gw_th, __gw_id, root) with different roots: all whose similarity is SIMILAR or more, and some others."""
-    shared = d.sparkSession.sparkContext.broadcast(late_shingles(d, texts))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 part = b.slice(first, 256)
-                sets = [near_features((t.as_py() or b"").lower().split())[1] for t in part.column(2).cast(pa.binary())]
-                heads = [prefix(x, late) for x in sets]
-                own = np.repeat(np.arange(len(sets)), [len(x) for x in heads])
-                sizes = np.array([len(x) for x in sets], np.int32)
-                th, root = (part.column(k).to_numpy() for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(th[own]), pa.array(root[own]), pa.array(sizes[own])], names=["key", "th", "root", "size"])
-
-    rows = one_each(d, texts).mapInArrow(spread, "key long, th long, root long, size int").repartition("key")
-    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
-    rows = rows.join(many, "key").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("th"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "th", "root", "own")
+                new = [k for k, th in enumerate(part.column(1).to_pylist()) if not (th in seen or seen.add(th))]
+                part = part.take(pa.array(new, pa.int64()))
+                keys, ths, needs = [], [], []
+                for th, s in zip(part.column(1).to_pylist(), shingle_sets(part.column(2)), strict=True):
+                    l = 1 + len(s) // PREFIX_SHARE
+                    head = s[: len(s) - math.ceil(SIMILAR * len(s) - 1e-9) + l + 1]
+                    known = is_common(head, shared.value)
+                    need = max(0, l - int(known.sum()))
+                    head = head[~known].view(np.int64)
+                    head = head if need else np.append(head, np.int64(th))  # one row at least
+                    keys.append(head)
+                    ths.append(np.full(len(head), th, np.int64))
+                    needs.append(np.full(len(head), need, np.int32))
+                none = np.array([], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *keys])), pa.array(np.concatenate([none, *ths])), pa.array(np.concatenate([none, *needs]).astype(np.int32))], names=["key", "__gw_th", "need"])
+
+    rows = d.mapInArrow(run, "key long, __gw_th long, need int").repartition("key").groupBy("key", "__gw_th").agg(F.max("need").alias("need"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = rows.join(many, "key", "left").filter("n > 1 OR need = 0")
+    return met.groupBy("__gw_th").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("__gw_th")
+
+
+def prefixes(d: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """(__gw_th, key): the first shingles of each text, in the order by how many of the texts hold them.
+
+    Similar texts share one of them. Texts of whose shingles under SIMILAR are in other texts have none:
+    shingles of one text come first in the order, and are left out as no other text can share them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(7)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1 if len(cols[0]) > 1 else np.array([], int)
-            last = int(change[-1]) if len(change) else 0
-            held = [c[last:] for c in cols]
-            yield from pairs([c[:last] for c in cols], change[:-1])
-        if held is not None:
-            yield from pairs(held, np.array([], int))
-
-    def pairs(cols: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, i, j, size, th, root, own = cols
-        if not len(th):
-            return
-        runs = np.diff(np.r_[0, cuts, len(th)])
-        after = np.repeat(np.cumsum(runs), runs) - np.arange(len(th)) - 1
-        at, shift = np.flatnonzero(after > 0), 1
-        while len(at):
-            at = at[size[at] >= SIMILAR * size[at + shift] - 1e-9]  # sizes ascend in a cell, so no later one fits either
-            x, y = at, at + shift
-            new = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-            x, y = x[new], y[new]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(th[x], th[y])), pa.array(np.maximum(th[x], th[y])), pa.array(size[x])], names=["a", "b", "least"])
-            shift += 1
-            at = at[after[at] >= shift]
-
-    cell = ["key", "i", "j"]
-    met = rows.repartition(*cell).sortWithinPartitions(*cell, "size").mapInArrow(run, "a long, b long, least int")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least"))
-    return met.filter(F.col("n") >= F.floor(F.col("least") / PREFIX_SHARE) + 1).select("a", "b")
-
-
-def compared(d: DataFrame, grouped: DataFrame) -> DataFrame:
-    """near_links within the candidate groups g of the texts (__gw_th, __gw_id, g)."""
-    many = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = materialize(grouped.join(many, "g").select("__gw_th", "__gw_id", "g", "n"))
+            for th, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+                known = is_common(s, shared.value)
+                key = s.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(known, th, key)), pa.array(key), pa.array(np.full(len(s), th, np.int64)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(known)], names=["at", "key", "__gw_th", "size", "common"])
+
+    rows = one_each(d, texts).mapInArrow(run, "at long, key long, __gw_th long, size int, common boolean").repartition("at").distinct()  # rows may repeat
+    many = rows.filter("NOT common").groupBy("at").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(many, "at", "left").filter("common OR df > 1")
+    mine = Window.partitionBy("__gw_th")
+    order = F.when(F.col("common"), F.lit(1 << 62)).otherwise(F.col("df"))
+    rows = rows.withColumns({"held": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy(order, "key"))})
+    return rows.filter(F.col("rank") <= F.col("held") - F.ceil(SIMILAR * F.col("size") - 1e-9) + 1).select("__gw_th", "key")
+
+
+def candidates(d: DataFrame, texts: DataFrame) -> DataFrame:
+    """(__gw_th, __gw_id, size, g) of the texts (with root) that may be similar to one of another root: all such pairs have one g.
+
+    In place of the pairs that share a shingle, each root with it is linked to the least such root.
+    """
+    shared = d.sparkSession.sparkContext.broadcast(common_shingles(d, texts))
+    some = materialize(texts.join(partly_shared(d, shared), "__gw_th"))
+    held = materialize(prefixes(d, some.select("__gw_th", "__gw_id"), shared).join(some, "__gw_th"))
+    keys = held.select("key", "root").distinct()
+    least = keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z")
+    edges = keys.join(least, "key").filter("root <> a").select("a", F.col("root").alias("b")).distinct()
+    return held.select("__gw_th", "__gw_id", "size", "root").distinct().join(components(edges).select(F.col("node").alias("root"), F.col("root").alias("g")), "root").select("__gw_th", "__gw_id", "size", "g")
+
+
+def compared(d: DataFrame, grouped: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
+    """near_links within the candidate groups g of the texts (__gw_th, __gw_id, size, g), in blocks of about `block` shingles."""
+    many = grouped.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / block).cast("long").alias("nb")).filter("n > 1")
+    asked = materialize(grouped.join(many, "g").select("__gw_th", "__gw_id", "g", "nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [near_features((t.as_py() or b"").lower().split())[1].tobytes() for t in b.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(sets, pa.binary())], names=["g", "n", "__gw_th", "sketch"])
+            sets = [s.tobytes() for s in shingle_sets(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(sets, pa.binary())], names=["g", "nb", "__gw_th", "sketch"])
 
-    return near_links(one_each(d, asked).mapInArrow(run, "g long, n long, __gw_th long, sketch binary"))
+    return near_links(one_each(d, asked).mapInArrow(run, "g long, nb long, __gw_th long, sketch binary"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,8 +259,8 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("block", [simhash.NEAR_BLOCK, 4])
-def test_near_links(spark, block):
+@pytest.mark.parametrize("blocks", [1, 27])
+def test_near_links(spark, blocks):
     rnd = random.Random(11)
     vocabulary = ["w%d" % int(rnd.paretovariate(0.7)) for i in range(3000)]
     texts = []
@@ -272,14 +272,14 @@ def test_near_links(spark, block):
                 v[k] = rnd.choice(vocabulary)
             texts.append(" ".join(v))
     sketches = [simhash.near_features(t.encode().split())[1] for t in texts]
-    members = spark.createDataFrame([(5, len(texts), i, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "g long, n long, __gw_th long, sketch binary")
+    members = spark.createDataFrame([(5, blocks, i, bytearray(s.tobytes())) for i, s in enumerate(sketches)], "g long, nb long, __gw_th long, sketch binary")
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
                 x, y = max(root[i], root[j]), min(root[i], root[j])
                 root = [y if r == x else r for r in root]
-    got = {r.node: r.root for r in simhash.components(simhash.near_links(members, block)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(members)).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == root and len(set(root)) > 12
 
 
@@ -329,17 +329,20 @@ def planted_copies(seed=14, n=40):
     return [x for a, b in zip(rows[::2], rows[1::2]) if jaccard(a[1], b[1]) >= 0.8 for x in (a, b)]
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
-def test_prefix_pairs_miss_none(spark, block):
+@pytest.mark.parametrize("common", [simhash.COMMON, 1 << 30])
+def test_candidates_miss_no_pair(spark, common, monkeypatch):
+    """Each similar pair of different roots is in one group; texts that only share a passage are in none."""
+    monkeypatch.setattr(simhash, "COMMON", common)
     rows = planted_copies()
-    common = " ".join("c%d" % k for k in range(12))
-    rows = [(i, common + " " + t) for i, t in rows]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gw_th", F.xxhash64("text"))
-    texts = d.select("__gw_th", F.col("doc_id").alias("__gw_id"), F.col("__gw_th").alias("root"))
-    ids = {r["__gw_th"]: r.doc_id for r in d.collect()}
-    got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in simhash.prefix_pairs(d.select("doc_id", "__gw_th", "text"), texts, block).collect()}
+    shared = " ".join("c%d" % k for k in range(12))
+    rows = [(i, shared + " " + t) for i, t in rows] + [(5000 + i, " ".join([shared, *("u%d_%d" % (i, k) for k in range(60))])) for i in range(30)]
+    d = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string").withColumn("__gw_th", F.xxhash64("text"))
+    size = lambda t: len(simhash.near_features(t.encode().split())[1])
+    texts = spark.createDataFrame([(i, size(t), t) for i, t in rows], "__gw_id long, size long, text string").withColumn("__gw_th", F.xxhash64("text")).select("__gw_th", "__gw_id", "size", F.col("__gw_th").alias("root"))
+    got = {r["__gw_id"]: r.g for r in simhash.candidates(d.select("doc_id", "__gw_th", "text"), texts).collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and jaccard(a[1], b[1]) >= 0.8}
-    assert want <= got and len(want) > 30 and len({a // 10 % 4 for a, _ in want}) == 4
+    assert all(got.get(a, "none") == got.get(b) for a, b in want) and len(want) > 30 and len({a // 10 % 4 for a, _ in want}) == 4
+    assert max(got) < 5000 and len(set(got.values())) > 20
 
 
 def test_dedup_stage_takes_appended_and_cut_copies(spark):
