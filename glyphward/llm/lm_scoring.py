@@ -50,7 +50,7 @@ MU, LAMBDA = 5.0, 2000.0
 #: Texts sampled for hot words and bigrams; a hot one has over 1/HOT of the sample's rows.
 SAMPLE_TEXTS, HOT = 4000, 4096
 #: Tokens of a task that are summed by document at once, and rows of a bucket.
-CHUNK, BUCKET_ROWS = 1_000_000, 1_500_000
+CHUNK, BUCKET_ROWS = 400_000, 1_500_000
 #: Stand for the start of a text, and for "no word follows", in the place of the word before.
 START, LAST = np.uint64(1), np.uint64(2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
