@@ -61,26 +61,56 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None, site: rules.Site = rules.Site()) -> Column:
-    """Spans of all matches; a match starts where the pieces and matches before it end."""
-    pref = F.lit(int(etype not in rules.PREFERRED))
-    nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+#: Numbers summed in one run of starts_of; appending to an array copies it, so neither a run nor the list of runs may be long.
+RUN = 64
+
+
+def starts_of(sizes: Column) -> Column:
+    """Of each number in an array of int, the sum of those before it (array of int)."""
+
+    def sums(values):
+        nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, nil, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def by_run(values, inner):
+        runs = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(RUN)), lambda k: F.slice(values, k, F.lit(RUN)))
+
+        def joined(runs):
+            totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
+            return let(let(totals, inner), lambda first: F.flatten(F.zip_with(runs, first, lambda r, s: F.transform(sums(r), lambda x: x + s))))
+
+        return let(runs, joined)
 
-    def step(a, piece):
-        s = a["at"] + piece["gap"]
-        return F.struct((s + piece["size"]).alias("at"), F.array_append(a["out"], s).alias("out"))
+    def of(v):
+        few = F.when(F.size(v) == 0, F.array().cast("array<int>")).when(F.size(v) <= RUN, sums(v))
+        return few.when(F.size(v) <= RUN * RUN, by_run(v, sums)).otherwise(by_run(v, lambda t: by_run(t, sums)))
 
-    def placed(both):
-        pieces = F.zip_with(both["found"], both["between"], lambda v, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(v), F.lit(0)).alias("size")))
-        starts = F.aggregate(pieces, nil, step, lambda a: F.slice(a["out"], 1, F.size(both["found"])))
+    return let(sizes, of)
 
-        def span(v, s):
-            return F.struct(s.alias("start"), F.lit(-score).alias("nscore"), pref.alias("pref"), F.lit(order).alias("ord"), (s + F.length(v)).alias("stop"), F.lit(etype).alias("etype"), v.alias("value"))
 
-        return F.zip_with(both["found"], starts, span)
+def placed(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, stop, value) of the matches, value being the group; a match starts where the pieces and matches before it end."""
+
+    def spans(both):
+        sizes = F.zip_with(both["found"], both["between"], lambda v, g: F.length(g) + F.coalesce(F.length(v), F.lit(0)))
+        gaps = F.zip_with(starts_of(sizes), both["between"], lambda s, g: s + F.length(g))
+        ends = F.zip_with(both["found"], F.slice(gaps, 1, F.size(both["found"])), lambda v, s: F.struct(s.alias("start"), (s + F.length(v)).alias("stop"), v.alias("value")))
+        if not group:
+            return ends
+        return F.zip_with(ends, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, v: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), v.alias("value")))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
-    spans = let(both, placed).cast(f"array<{SPAN}>")
+    return let(both, spans)
+
+
+def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None, site: rules.Site = rules.Site()) -> Column:
+    """Spans of all matches."""
+    pref = F.lit(int(etype not in rules.PREFERRED))
+
+    def span(m):
+        return F.struct(m["start"].alias("start"), F.lit(-score).alias("nscore"), pref.alias("pref"), F.lit(order).alias("ord"), m["stop"].alias("stop"), F.lit(etype).alias("etype"), m["value"].alias("value"))
+
+    spans = F.transform(placed(text, pattern), span).cast(f"array<{SPAN}>")
     if check is not None:
         spans = F.filter(spans, lambda s: check(s["value"]))
     return F.when(matches(text, pattern, site=site), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
