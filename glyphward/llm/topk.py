@@ -12,11 +12,15 @@ the rest are scored exactly in integers. The rotation is fitted on a bounded sam
 Cells hold about CELL rows of one band by hash of the id (so equal vectors spread),
 queries come in blocks of about QUERIES: each task has one block and one cell.
 
-Cases: vectors that are null, hold null or non-finite components, or a component
-over 2^25 in size after scaling, and rows without id take no part; vectors of
-different lengths are never compared; repeated rows are candidates each, but one
-query per id (the smallest vector, if they differ), and never candidates of their
-own id; ties go to the smaller id; an empty table gives no rows.
+Products whose size can reach 2^52 are summed in 64-bit integers, those that can reach 2^62
+in Python's, so that every finite vector keeps its exact score. A component over 2^62 after
+scaling, or a score that is no long, is an error, as the result could not hold it.
+
+Cases: vectors that are null or hold null or non-finite components, and rows without id take
+no part; vectors of different lengths are never compared. An id names one vector: a row
+with the query's id is the query's own, so repeated rows are candidates of other queries
+each, but make one query per id (the smallest vector, if they differ), and never candidates of
+their own id; ties go to the smaller id; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,16 +39,18 @@ CELL, QUERIES, CHUNK, HEAD = 4096, 2048, 512, 16
 SAMPLE = 4096
 #: Shares of rows above each band's lower edge, longest first.
 BANDS = (0.95, 0.7, 0.4)
-_LIMIT = float(1 << 25)
+_LIMIT = float(1 << 62)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of int), dim and norm2 of the rows that take part."""
     x = F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
-    good = F.forall("embedding", lambda x: F.coalesce(F.abs(F.lit(float(SCALE)) * x.cast("double")) < _LIMIT, F.lit(False)))
-    v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select("vec_id", F.transform(x, lambda y: y.cast("int")).alias("v"))
-    norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, y: a + y.cast("long") * y.cast("long"))
-    return v.select("vec_id", "v", F.size("v").alias("dim"), norm2.alias("norm2"))
+    good = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    large = F.exists("embedding", lambda x: F.abs(F.lit(float(SCALE)) * x.cast("double")) >= _LIMIT)
+    v = F.when(large, F.raise_error(F.lit("a vector component is over 2^62 after scaling")).cast("array<long>")).otherwise(x)
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select("vec_id", v.alias("v"))
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
+    return rows.select("vec_id", "v", F.size("v").alias("dim"), norm2.alias("norm2"))
 
 
 def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -58,6 +64,19 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.linalg.svd(np.array(v, float), full_matrices=True)[2].T for d, v in found.items() if d}
 
 
+def products(q: np.ndarray, c: np.ndarray, norm_q: np.ndarray, norm_c: float, asked: np.ndarray) -> np.ndarray:
+    """Exact inner products (long) of the rows of q and of c, where asked; norm_c: the longest of c."""
+    out = np.empty((len(q), len(c)), np.int64)
+    bound = norm_q * norm_c * 1.001
+    for kind, rows in ((float, bound < 2**52), (np.int64, (bound >= 2**52) & (bound < 2**62)), (object, bound >= 2**62)):
+        if rows.any():
+            s = q[rows].astype(kind) @ c.astype(kind).T
+            if kind is object and (np.where(asked[rows], abs(s), 0) >= 2**63).any():
+                raise OverflowError("an inner product does not fit a long")
+            out[rows] = (np.where(asked[rows], s, 0) if kind is object else s).astype(np.int64)
+    return out
+
+
 def search_cell(q_ids, q, floor, c_ids, c, rotation, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and scores of at most k best candidates of each query that reach its floor."""
     none = (np.array([], np.int64),) * 3
@@ -72,8 +91,6 @@ def search_cell(q_ids, q, floor, c_ids, c, rotation, k: int = K) -> tuple[np.nda
     head = min(HEAD, d)
     q_head, c_head = q @ r[:, :head], c @ r[:, :head]
     q_rest, c_rest = (np.sqrt(np.maximum(0, n**2 - (h**2).sum(1))) for n, h in ((norm_q, q_head), (norm_c, c_head)))
-    exact = float if float(norm_q.max()) * float(norm_c.max()) * 2 < 2**52 else np.int64
-    q_x, c_x = q.astype(exact), c.astype(exact)
     floor = floor.astype(float).copy()
     out_q, out_c, out_s = [], [], []
     for at in range(0, len(c), CHUNK):
@@ -88,16 +105,16 @@ def search_cell(q_ids, q, floor, c_ids, c, rotation, k: int = K) -> tuple[np.nda
         if not len(cols):
             continue
         a = active[rows]
-        s = q_x[a] @ c_x[at + cols].T
         ok = alive[np.ix_(rows, cols)] & (c_ids[at + cols][None, :] != q_ids[a][:, None])
+        s = products(q[a], c[at + cols], norm_q[a], norm_c[at], ok)
         ranked = np.where(ok, s.astype(float), -np.inf)
         if ranked.shape[1] >= k:
             kth = -np.partition(-ranked, k - 1, axis=1)[:, k - 1]
-            floor[a] = np.maximum(floor[a], kth - (0 if exact is float else np.abs(kth) * 1e-12))
+            floor[a] = np.maximum(floor[a], kth - np.abs(kth) * 1e-12)
         i, j = np.nonzero(ok & (ranked >= floor[a][:, None]))
         out_q.append(a[i])
         out_c.append(c_ids[at + cols[j]])
-        out_s.append(s[i, j].astype(np.int64))
+        out_s.append(s[i, j])
     if not out_q:
         return none
     i, ids, s = np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
@@ -115,11 +132,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten()).astype(np.int64).reshape(n, -1)
 
 
-def _pass(queries: DataFrame, cells: DataFrame, n_cells: DataFrame, n_blocks: DataFrame, shared, k: int) -> DataFrame:
-    """Top k of each query in every cell: each query block meets each cell of its dimension once."""
-    left = queries.join(maybe_broadcast(n_cells), "dim").withColumn("cell", F.explode("cells")).select("dim", "block", "cell", "vec_id", "v", "floor")
-    right = cells.join(maybe_broadcast(n_blocks), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "block", "cell", "vec_id", "v")
+def _pass(queries: DataFrame, cells: DataFrame, pairs: DataFrame, shared, k: int) -> DataFrame:
+    """Top k of each query in every cell that its block meets (pairs: dim, block, cell)."""
     key = ["dim", "block", "cell"]
+    pairs = maybe_broadcast(materialize(pairs.select(*key)))
+    left = queries.join(pairs, ["dim", "block"]).select(*key, "vec_id", "v", "floor")
+    right = cells.join(pairs, ["dim", "cell"]).select(*key, "vec_id", "v")
 
     def run(key, q: pa.Table, c: pa.Table) -> pa.Table:
         found = (np.array([], np.int64),) * 3
@@ -148,18 +166,21 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     queries = rows.filter(is_query).groupBy("dim", "vec_id").agg(F.min("v").alias("v"))
     queries = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    queries = materialize(queries.join(maybe_broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
+    queries = materialize(queries.join(maybe_broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("norm", norm).drop("blocks"))
+    tops = cells.groupBy("dim", "band", "cell").agg(F.sqrt(F.max("norm2")).alias("top"))
 
-    def of(bands):
-        names = sizes.filter(bands).select("dim", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat_ws(":", "band", i))).alias("c"))
-        return names.groupBy("dim").agg(F.collect_list("c").alias("cells"))
+    def pairs(asked, bands):
+        """Blocks of queries and cells that may hold a candidate for one of them, by the cell's longest vector."""
+        need = F.min(F.when(F.col("norm") > 0, F.col("floor") * (1 - 1e-6) / F.col("norm")).otherwise(-float("inf")))
+        return asked.groupBy("dim", "block").agg(need.alias("need")).join(maybe_broadcast(tops.filter(bands)), "dim").filter(F.col("top") >= F.col("need"))
 
     top, rest = F.col("band") == 0, F.col("band") > 0
     start = queries.withColumn("floor", F.lit(-float("inf")))
-    first = materialize(_best(_pass(start, cells.filter(top), of(top), blocks, shared, k), k).drop("rank"))
+    first = materialize(_best(_pass(start, cells.filter(top), pairs(start, top), shared, k), k).drop("rank"))
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    later = queries.join(floors, queries.vec_id == floors.query_id, "left").select("vec_id", "dim", "v", "block", F.coalesce("floor", F.lit(-float("inf"))).alias("floor"))
-    found = first.unionByName(_pass(later, cells.filter(rest), of(rest), blocks, shared, k))
+    later = queries.join(floors, queries.vec_id == floors.query_id, "left").select("vec_id", "dim", "v", "block", "norm", F.coalesce("floor", F.lit(-float("inf"))).alias("floor"))
+    found = first.unionByName(_pass(later, cells.filter(rest), pairs(later, rest), shared, k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
