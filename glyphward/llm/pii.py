@@ -27,6 +27,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -42,8 +43,6 @@ ship(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MAX_PATTERNS, ROUNDS, CONFIDENT = 5, 10_000, 4, 0.75
-#: Code points before a token in which its two context words are looked for.
-CONTEXT = 200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,9 +96,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def context(text: str, start: int) -> str | None:
-    before = text[max(0, start - CONTEXT) : start].lower().split()
-    return " ".join(before[-2:]) if len(before) >= 2 else None
+_WORD = re.compile(r"\S+")
+
+
+class Contexts:
+    """The two lower-cased words before any place of a text, whatever their length; its words are looked for once."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, None
+
+    def of(self, start: int) -> str | None:
+        if self.words is None:
+            self.words = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts = [s for s, _ in self.words]
+        k = bisect.bisect_left(self.starts, start)
+        if k < 2:
+            return None
+        (s, e), (t, f) = self.words[k - 2], self.words[k - 1]
+        return f"{self.text[s:e]} {self.text[t : min(f, start)]}".lower()
 
 
 def marked(text: str) -> Iterator[tuple[int, int]]:
@@ -122,7 +136,8 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(joined(found))
             counts.append(Counter(k for _, k, _ in found))
             sha.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-            edges.append([{"kind": k, "pattern": c, "instance": text[s:e]} for s, k, e in found if (c := context(text, s))])
+            before = Contexts(text or "")
+            edges.append([{"kind": k, "pattern": c, "instance": text[s:e]} for s, k, e in found if (c := before.of(s))])
         n = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *n, pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(edges, _EDGES)], names=["doc_id", "th", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "edges"])
 
@@ -169,9 +184,9 @@ def _places_of(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
                     continue
                 w = text.lower().split()
                 seen.update(x for k, v in enumerate(w) if v in firsts and (x := (v, w[k + 1] if k + 1 < len(w) else "")) in pairs)
-                base = None
+                base, before = None, Contexts(text)
                 for s, e in marked(text):
-                    c = context(text, s)
+                    c = before.of(s)
                     if c not in kinds:
                         continue
                     seen[tuple(c.split(" "))] -= 1
@@ -240,4 +255,5 @@ def extract(docs: DataFrame, most: int = MAX_PATTERNS) -> DataFrame:
 
 def op6_pii_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's spans of personal data."""
-    return extract(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+    found = extract(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+    return found.withColumn("n_spans", F.when(F.col("spans") == "", F.lit(0)).otherwise(F.size(F.split("spans", ","))).cast("long"))
