@@ -8,9 +8,12 @@ one bit in each) drops most keys; what passes is joined exactly with the list, s
 false positives end there, and the longest entry wins. Pages without an entry are
 allowed.
 
-The filter is summed in Spark and bounded by MAX_BLOCKS (64 MB); the list is
-broadcast up to a counted size, beyond it the join shuffles, salted SALTS ways so
-that a hot host spreads.
+The filter is summed in Spark and bounded by MAX_BLOCKS (64 MB); a fuller one only
+passes more keys on. A list of up to LOCAL entries is a hash table in each task, where
+the keys that pass are joined with it and no page is shuffled; beyond it the join is
+Spark's, with the list broadcast up to BROADCAST_ROWS entries and shuffled beyond,
+salted SALTS ways so that a hot host spreads. Lists are made canonical as pages are
+(canonical()): host lower-cased, path up to ? or #.
 
 Cases: a null url, or one without `://`, has empty host and path and no rule; an
 empty list allows everything; repeated pages and null ids keep their rows; of equal
@@ -39,7 +42,7 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-BITS_PER_KEY, MAX_BLOCKS, SALTS = 16, 1 << 20, 16
+BITS_PER_KEY, MAX_BLOCKS, SALTS, LOCAL = 16, 1 << 20, 16, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,6 +52,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def canonical(urls: DataFrame, verdict: str) -> DataFrame:
+    """A list (host, path, verdict) from a column url; urls without `://` are left out, an empty path fits every path."""
+    host, path = host_and_path(F.col("url"))
+    return urls.filter(F.contains("url", F.lit("://"))).select(host.alias("host"), path.alias("path"), F.lit(verdict).alias("verdict")).filter("host <> ''").distinct()
+
+
 def bloom(keys: DataFrame) -> np.ndarray:
     """(blocks, 8) words of 64 bits; keys: one column, key."""
     n = keys.count()
@@ -74,7 +83,8 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     rules = rules.filter("key IS NOT NULL").groupBy("key", "labels", "chars").agg(F.max("verdict").alias("verdict"))
     n = rules.count()
     shapes = sorted(tuple(r) for r in rules.select("labels", "chars").distinct().collect())
-    shared = spark.sparkContext.broadcast(bloom(rules.select("key")))
+    sc = spark.sparkContext
+    shared = sc.broadcast(bloom(rules.select("key")))
     host, path = host_and_path(F.col("url"))
     d = pages.withColumns({"__gw_host": host, "__gw_path": path}).withColumn("__gw_labels", F.split("__gw_host", r"\."))
 
@@ -87,6 +97,7 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     d = d.withColumn("__gw_keys", keys).drop("__gw_labels")
     d = d.withColumns({"__gw_h1": F.transform("__gw_keys", lambda k: F.xxhash64(k)), "__gw_h2": F.transform("__gw_keys", lambda k: F.xxhash64(k, F.lit("bits"))), "__gw_uid": F.monotonically_increasing_id()})
     at = {c: d.columns.index(c) for c in ("__gw_keys", "__gw_h1", "__gw_h2")}
+    local = sc.broadcast({r.key: r.verdict for r in rules.select("key", "verdict").collect()}) if n <= LOCAL else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -95,21 +106,33 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
             n_keys = np.asarray(keys.value_lengths().fill_null(0))
             h1, h2 = (np.asarray(b.column(at[c]).flatten()).astype(np.int64) for c in ("__gw_h1", "__gw_h2"))
             passed = probe(words, h1, h2) if len(h1) else np.array([], bool)
+            if local is not None:
+                page = np.repeat(np.arange(b.num_rows), n_keys)[passed]
+                rule, verdict = [None] * b.num_rows, [None] * b.num_rows
+                for p, key in zip(page.tolist(), keys.flatten().filter(pa.array(passed, pa.bool_())).to_pylist(), strict=True):
+                    if (found := local.value.get(key)) is not None and (rule[p] is None or len(key) > len(rule[p])):
+                        rule[p], verdict[p] = key, found
+                more = [pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "__gw_rule", "__gw_verdict"])
+                continue
             counts = np.bincount(np.repeat(np.arange(b.num_rows), n_keys), passed, b.num_rows).astype(np.int32) if b.num_rows else np.array([], np.int32)
-            hits = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), keys.flatten().filter(pa.array(passed)))
+            hits = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), keys.flatten().filter(pa.array(passed, pa.bool_())))
             yield pa.RecordBatch.from_arrays([*b.columns, hits], names=[*b.schema.names, "__gw_hits"])
 
+    own = [*(F.col(f"`{c}`") for c in pages.columns), "__gw_host", "__gw_path"]
+    if local is not None:
+        d = d.mapInArrow(run, wider(d, __gw_rule="string", __gw_verdict="string"))
+        return d.select(*own, "__gw_rule", F.coalesce("__gw_verdict", F.lit("allow")).alias("__gw_verdict"))
     d = d.mapInArrow(run, wider(d, __gw_hits="array<string>")).drop("__gw_keys", "__gw_h1", "__gw_h2")
     d = d.withColumn("__gw_key", F.explode_outer("__gw_hits")).drop("__gw_hits")
     rules = rules.select(F.col("key").alias("__gw_key"), F.col("verdict").alias("__gw_found"))
     if n <= BROADCAST_ROWS:
         met = d.join(F.broadcast(rules), "__gw_key", "left")
     else:
-        salted = rules.withColumn("__gw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = rules.withColumn("__gw_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         met = d.withColumn("__gw_salt", F.pmod("__gw_uid", F.lit(SALTS))).join(salted, ["__gw_key", "__gw_salt"], "left")
     best = F.max(F.when(F.col("__gw_found").isNotNull(), F.struct(F.length("__gw_key").alias("n"), F.col("__gw_key").alias("rule"), F.col("__gw_found").alias("verdict"))))
-    own = [*pages.columns, "__gw_host", "__gw_path"]
-    out = met.groupBy("__gw_uid").agg(best.alias("__gw_best"), *(F.first(c).alias(c) for c in own))
+    out = met.groupBy("__gw_uid").agg(best.alias("__gw_best"), *(F.first(f"`{c}`").alias(c) for c in [*pages.columns, "__gw_host", "__gw_path"]))
     return out.select(*own, F.col("__gw_best.rule").alias("__gw_rule"), F.coalesce("__gw_best.verdict", F.lit("allow")).alias("__gw_verdict"))
 
 
