@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -62,6 +63,32 @@ def test_sharding(docs, empty):
     assert sharding.reshard(empty)[0].count() == 0
 
 
+def test_sharding_spreads_repeated_rows(spark, monkeypatch):
+    """Thousands of equal rows (and rows without id) are dealt one by one; slots stay gapless with many parts to a block."""
+    rows = [(7, "same text of a group", "s")] * 4000 + [(None, "no id", "s")] * 500 + [(100 + i, "x" * (i % 90), "t") for i in range(300)]
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    placed, plan = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = placed.collect()
+    by = {j: [r for r in found if r["__gw_shard"] == j] for j in range(8)}
+    loads = [sum(r["__gw_size"] for r in x) for x in by.values()]
+    assert len(found) == len(rows) and sum(loads) == plan.total and max(loads) - min(loads) < 100
+    assert all(sorted(r["__gw_slot"] for r in x) == list(range(len(x))) for x in by.values())
+    assert plan.moved == sum(r["__gw_size"] for r in found if r["__gw_old"] != r["__gw_shard"])
+
+
+def test_rewrite_writes_affected_shards_alone(spark, tmp_path):
+    rows = [(i, "t" * 20, i % 4, "old") for i in range(400)] + [(1000 + i, "t" * 20, 3, "old") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, at int, shard string")
+    _, plan = sharding.rewrite(d, str(tmp_path / "even"), n_new=4, old_shard="at", n_old=4)
+    assert plan.affected and plan.moved <= 21 * 40
+    out = spark.read.parquet(str(tmp_path / "even"))
+    assert {r.shard for r in out.select("shard").distinct().collect()} == set(plan.affected)
+    rest = {r[0] for r in rows if r[2] not in plan.affected}
+    assert {r.doc_id for r in out.collect()} | rest == {r[0] for r in rows} and out.count() + len(rest) == len(rows)
+    _, same = sharding.rewrite(d.filter("doc_id < 400"), str(tmp_path / "same"), n_new=4, old_shard="at", n_old=4)
+    assert same.moved == 0 and same.affected == []
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and mixing.mix(empty).count() == 0
@@ -170,6 +197,21 @@ def test_top_k(spark):
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    """Finite components of any size keep exact scores; what no long can hold is an error."""
+    x = [[200000.0, 1.0], [1.0e6, -3.5], [1.0, 1.0], [3.0e7, 2.0], [3.0e6, 1.0e6], [0.0, 0.0], [-2.0e5, 5.0]]
+    rows = [(50 * i, v) for i, v in enumerate(x)] + [(7, [1.0, float("inf")]), (8, [2.0, 0.5])]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    v = {i: [int(np.floor(256 * c)) for c in y] for i, y in rows if i != 7}
+    want = {q: sorted(((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q))[:5] for q in v if q % 50 == 0}
+    got = {}
+    for r in topk.top_k(d, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    assert {q: [x[1:] for x in sorted(r)] for q, r in got.items()} == want
+    with pytest.raises(Exception, match="2.62"):
+        topk.top_k(spark.createDataFrame([(50, [1e30]), (51, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_urls(spark):
     urls = [None, "nothing", "http://A.Example.ORG/es/x?y", "x://example.org/en/12", "http://fr.com/fr/", "http://b.com/de/1#z", "http://notexample.org", "http://com/de/", "http://evilexample.org/es/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h")], "page_id int, url string, host string")
@@ -179,6 +221,30 @@ def test_urls(spark):
     assert {r["__gw_verdict"] for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("local,most,blocks", [(10**6, 10**6, 1 << 20), (0, 10**6, 1), (0, 0, 1)])
+def test_long_url_lists(spark, monkeypatch, local, most, blocks):
+    """Each way of the join, with a Bloom filter so full that it passes false positives, against a plain search."""
+    monkeypatch.setattr(url_filter, "LOCAL", local)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", blocks)
+    rnd = random.Random(21)
+    host = lambda: rnd.choice(["a", "b", "c"]) + "." + rnd.choice(["d", "e"]) + rnd.choice([".org", ".net"])
+    path = lambda: "".join(rnd.choice(["/x", "/y", "/zz"]) for _ in range(rnd.randrange(4)))
+    listed = spark.createDataFrame([(f"HTTP://{host().upper()}{path()}?q#f",) for _ in range(80)] + [(None,), ("no url",)], "url string")
+    rules = url_filter.canonical(listed, "block").union(url_filter.canonical(listed.limit(5), "allow"))
+    known = {}
+    for r in rules.collect():
+        known[r.host + r.path] = max(r.verdict, known.get(r.host + r.path, ""))
+    entries = {(r.host, r.path) for r in rules.collect()}
+    pages = [(i, f"http://{rnd.choice(['', 'www.', 'w.w.'])}{host()}{path()}") for i in range(300)]
+    for r in url_filter.judge(spark.createDataFrame(pages, "page_id int, url string"), rules).collect():
+        h, p = r["__gw_host"], r["__gw_path"]
+        fits = [k for k, q in entries if (h == k or h.endswith("." + k)) and p.startswith(q)]
+        keys = sorted({k + q for k, q in entries if (h == k or h.endswith("." + k)) and p.startswith(q)}, key=len)
+        assert r["__gw_rule"] is None if not fits else len(r["__gw_rule"]) == len(keys[-1])
+        assert r["__gw_verdict"] == known.get(r["__gw_rule"], "allow")
+
+
 def plain_pii(t):
     ok = lambda d: sum([int(c) for c in d[::-1]][::2] + [sum(divmod(2 * int(c), 10)) for c in d[::-1][1::2]]) % 10 == 0
     o = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -214,6 +280,46 @@ def test_secrets(spark):
     assert sorted(out) == [(1, "assign:3:30"), (2, "assign:5:23"), (3, "assign:11:39"), (4, "assign:0:28"), (5, ""), (6, ""), (7, "access:0:20,hex:21:45"), (7, "access:0:20,hex:21:45")]
 
 
+def plain_secrets(t):
+    """Base spans, and bare tokens that none of them meets."""
+    found = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 6]
+    found += [(m.start(), k, m.end(), m[0]) for k, p in ((1, r"AKIA[A-Z0-9]{16,}"), (2, r"[0-9a-f]{24,}")) for m in re.finditer(p, t)]
+    bare = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", t) if re.search("[0-9]", m[0]) and not re.search(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", m[0])]
+    return sorted(found), [(m.start(), 0, m.end(), m[0]) for m in bare if not any(s < m.end() and m.start() < e for s, _, e, _ in found)]
+
+
+def test_secrets_against_a_plain_version(spark):
+    rnd = random.Random(22)
+    values = ["k%dXy%d" % (i * 7919, i) for i in range(12)] + ["AKIA" + "Q7" * 9, "0a1b2c3d" * 4, "short", "z9"]
+    piece = lambda: rnd.choice(["token=", "api-key: ", 'Secret = "', "PASSWD:", "", "", "é "]) + rnd.choice(values) + rnd.choice(['"', "", " ", "\n", "+x", "."])
+    rows = [(i, rnd.choice([" ", ", "]).join(piece() for _ in range(rnd.randrange(9))), rnd.choice(["a", "b", "c", None])) for i in range(200)]
+    rows += [rows[0], (None, rows[1][1], "a"), (900, None, "a"), (901, "", "b")]
+    docs, owners, repositories, assigned = [], {}, Counter(), set()
+    for i, t, own in rows:
+        base, bare = plain_secrets(t or "")
+        docs.append((i, base, bare, own))
+        for s, k, e, v in base + bare:
+            owners.setdefault(v, set()).add(own)
+        assigned |= {v for _, k, _, v in base if k == 0}
+    live = lambda v: bool(len(owners[v]) == 1 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= secrets.DISTINCT)
+    want = []
+    for i, base, bare, own in docs:
+        spans = sorted(base + [b for b in bare if live(b[3]) and b[3] in assigned])
+        want.append((i, [sum(k == x for _, x, _, _ in base) for k in range(3)], ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in spans), sum(len(owners[b[3]]) > 1 for b in base), sum(live(b[3]) for b in base)))
+    out = secrets.secrets(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, spans string"))
+    got = [(r.doc_id, [r.n_assign, r.n_access, r.n_hex], r.s, r.a, r.b) for r in out.select("doc_id", "n_assign", "n_access", "n_hex", secrets.joined(F.col("spans")).alias("s"), F.coalesce("n_shared", F.lit(0)).alias("a"), F.coalesce("n_owner_specific", F.lit(0)).alias("b")).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert secrets.secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = " ".join("token=a%dbcdef q%dwErty" % (k, k) for k in range(10_000))
+    start = time.time()
+    r = secrets.secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert len(r.base) == 10_000 and time.time() - start < 15
+
+
 def test_masks_cover():
     rng = np.random.default_rng(6)
     for radius, parts, tables in ((3, 1, 15), (7, 2, 30), (7, 1, 255)):
