@@ -317,8 +317,10 @@ def near_copies(docs: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [near_features((t.as_py() or b"").lower().split()) for t in b.column(2).cast(pa.binary())]
-            fp, size = np.array([x for x, _ in found], np.uint64), np.array([len(x) for _, x in found], np.int64)
+            fp, size = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
+            for k, t in enumerate(b.column(2).cast(pa.binary())):
+                fp[k], found = near_features((t.as_py() or b"").lower().split())
+                size[k] = len(found)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(size)], names=["doc_id", "__gw_th", "__gw_fp", "size"])
 
     kind = T.StructType([*d.schema.fields[:2], T.StructField("__gw_fp", T.LongType()), T.StructField("size", T.LongType())])
@@ -399,10 +401,10 @@ def partly_shared(d: DataFrame, shared) -> DataFrame:
                 none = np.array([], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *keys])), pa.array(np.concatenate([none, *ths])), pa.array(np.concatenate([none, *needs]).astype(np.int32))], names=["key", "__gw_th", "need"])
 
-    rows = d.mapInArrow(run, "key long, __gw_th long, need int").repartition("key").groupBy("key", "__gw_th").agg(F.max("need").alias("need"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(many, "key", "left").filter("n > 1 OR need = 0")
-    return met.groupBy("__gw_th").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("__gw_th")
+    # Equal texts of several tasks repeat their rows, which only lets more texts through.
+    own = Window.partitionBy("key")
+    rows = d.mapInArrow(run, "key long, __gw_th long, need int").withColumns({"least": F.min("__gw_th").over(own), "most": F.max("__gw_th").over(own)})
+    return rows.filter("least < most OR need = 0").groupBy("__gw_th").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("__gw_th")
 
 
 def prefixes(d: DataFrame, texts: DataFrame, shared) -> DataFrame:
@@ -420,8 +422,7 @@ def prefixes(d: DataFrame, texts: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(known, th, key)), pa.array(key), pa.array(np.full(len(s), th, np.int64)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(known)], names=["at", "key", "__gw_th", "size", "common"])
 
     rows = one_each(d, texts).mapInArrow(run, "at long, key long, __gw_th long, size int, common boolean").repartition("at").distinct()  # rows may repeat
-    many = rows.filter("NOT common").groupBy("at").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = rows.join(many, "at", "left").filter("common OR df > 1")
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("at"))).filter("common OR df > 1")
     mine = Window.partitionBy("__gw_th")
     order = F.when(F.col("common"), F.lit(1 << 62)).otherwise(F.col("df"))
     rows = rows.withColumns({"held": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy(order, "key"))})
