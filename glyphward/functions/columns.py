@@ -27,33 +27,38 @@ def level_of(rank_: Column) -> Column:
     return F.get(F.array(*map(F.lit, rules.LEVELS)), rank_)
 
 
-def matches(text: Column, pattern: str, flags: str = "", site: rules.Site = rules.Site()) -> Column:
-    """text.rlike(pattern), with the search left out where none of the literals that a match needs is there."""
-    low, some = F.lower(text), rules.needed(pattern, site)
+def matches(text: Column, pattern: str, flags: str = "", site: rules.Site = rules.Site(), low: Column | None = None) -> Column:
+    """text.rlike(pattern), with the search left out where none of the literals (or no run of digits) that a match needs is there.
+
+    low: the text in lower case, where it is at hand; else it is made anew for each pattern.
+    """
+    some, digits = rules.needed(pattern, site), rules.needed_digits(pattern)
     found = text.rlike(flags + pattern)
-    return reduce_any([F.contains(low, F.lit(x)) for x in some]) & found if some else found
+    if some:
+        low = F.lower(text) if low is None else low
+        return reduce_any([F.contains(low, F.lit(x)) for x in some]) & found
+    return text.rlike("[0-9]" * digits) & found if digits else found
 
 
-def pattern_signals(text: Column, site: rules.Site = rules.Site()) -> Column:
-    return F.array_sort(array_of(*(F.when(matches(text, p, "(?i)", site), F.lit("pattern:" + n)) for ps in rules.level_patterns(site).values() for n, p in ps)))
+def hits(text: Column, low: Column, site: rules.Site = rules.Site(), patterns: bool = True, keywords: bool = True) -> Column:
+    """One entry for each pattern and keyword met: the rank of its level (a digit), then its name."""
+    found = []
+    for level in rules.LEVELS[1:]:
+        at = str(rules.LEVELS.index(level))
+        if patterns:
+            found += [F.when(matches(text, p, "(?i)", site, low), F.lit(f"{at}pattern:{n}")) for n, p in rules.level_patterns(site)[level]]
+        if keywords:
+            found += [F.when(F.contains(low, F.lit(k)), F.lit(f"{at}keyword:{k}")) for k in rules.level_keywords(site)[level]]
+    return array_of(*found)
 
 
-def keyword_signals(text: Column, site: rules.Site = rules.Site()) -> Column:
-    low = F.lower(text)
-    return F.array_sort(array_of(*(F.when(F.contains(low, F.lit(k)), F.lit("keyword:" + k)) for ks in rules.level_keywords(site).values() for k in ks)))
+def signals(found: Column) -> Column:
+    return F.array_sort(F.transform(found, lambda h: F.substring(h, 2, 1 << 30)))
 
 
-def fast_level(text: Column, site: rules.Site = rules.Site()) -> Column:
-    """The most restrictive level with a keyword or pattern hit, or null."""
-    low, out = F.lower(text), None
-    for level in reversed(rules.LEVELS[1:]):
-        hit = F.lit(False)
-        for k in rules.level_keywords(site)[level]:
-            hit = hit | F.contains(low, F.lit(k))
-        for _, p in rules.level_patterns(site)[level]:
-            hit = hit | matches(text, p, "(?i)", site)
-        out = F.when(hit, F.lit(level)) if out is None else out.when(hit, F.lit(level))
-    return out
+def hit_level(found: Column) -> Column:
+    """The most restrictive level of the hits, or null."""
+    return level_of(F.substring(F.array_max(found), 1, 1).cast("int"))
 
 
 def let(value: Column, body) -> Column:
@@ -103,7 +108,7 @@ def placed(text: Column, pattern: str, group: int = 0) -> Column:
     return let(both, spans)
 
 
-def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None, site: rules.Site = rules.Site()) -> Column:
+def find_all(text: Column, pattern: str, etype: str, score: float, order: int, check=None, site: rules.Site = rules.Site(), low: Column | None = None) -> Column:
     """Spans of all matches."""
     pref = F.lit(int(etype not in rules.PREFERRED))
 
@@ -113,17 +118,17 @@ def find_all(text: Column, pattern: str, etype: str, score: float, order: int, c
     spans = F.transform(placed(text, pattern), span).cast(f"array<{SPAN}>")
     if check is not None:
         spans = F.filter(spans, lambda s: check(s["value"]))
-    return F.when(matches(text, pattern, site=site), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(matches(text, pattern, site=site, low=low), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def luhn_ok(value: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(value, "[^0-9]", ""))
 
 
-def detect(text: Column, site: rules.Site = rules.Site(), types: tuple[str, ...] | None = None, threshold: float = 0.5) -> Column:
+def detect(text: Column, site: rules.Site = rules.Site(), types: tuple[str, ...] | None = None, threshold: float = 0.5, low: Column | None = None) -> Column:
     """All spans of the recognizers with a score of threshold or more, sorted by (start, score, preference, order)."""
     parts = [
-        find_all(text, "(?ims)" + p, t, s, k, luhn_ok if t == "CREDIT_CARD" else None, site)
+        find_all(text, "(?ims)" + p, t, s, k, luhn_ok if t == "CREDIT_CARD" else None, site, low)
         for k, (t, p, s) in enumerate(rules.recognizers(site))
         if s >= threshold and (types is None or t in types)
     ]
@@ -180,12 +185,12 @@ def check_type(etype: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), etype), F.lit("CONTEXTUAL"))
 
 
-def secret_count(text: Column) -> Column:
-    return sum((matches(text, p).cast("int") for p in rules.SECRET_PATTERNS), F.lit(0))
+def secret_count(text: Column, low: Column | None = None) -> Column:
+    return sum((matches(text, p, low=low).cast("int") for p in rules.SECRET_PATTERNS), F.lit(0))
 
 
-def pii_labels(text: Column) -> Column:
-    return array_of(*(F.when(matches(text, p), F.lit(n)) for n, p in rules.PII_PATTERNS))
+def pii_labels(text: Column, low: Column | None = None) -> Column:
+    return array_of(*(F.when(matches(text, p, low=low), F.lit(n)) for n, p in rules.PII_PATTERNS))
 
 
 def is_saas(route: Column) -> Column:

@@ -10,11 +10,11 @@ from glyphward.functions import rules
 
 
 def fast_path(df: DataFrame, text: str = "text", site: rules.Site = rules.Site()) -> DataFrame:
-    """Adds fast_level, fast_confidence and signals."""
+    """Adds fast_level, fast_confidence and signals. Each step refers to the column before it, so that a text is lowered and searched once."""
     t = F.coalesce(F.col(text), F.lit(""))
-    signals = F.array_sort(F.concat(C.pattern_signals(t, site), C.keyword_signals(t, site)))
-    level = C.fast_level(t, site)
-    return df.withColumns({"signals": signals, "fast_level": level, "fast_confidence": F.when(level.isNotNull(), F.lit(rules.FAST_CONFIDENCE)).otherwise(F.lit(0.0))})
+    d = df.withColumn("_low", F.lower(t)).withColumn("_hits", C.hits(t, F.col("_low"), site)).drop("_low")
+    d = d.withColumn("fast_level", C.hit_level(F.col("_hits"))).withColumn("signals", C.signals(F.col("_hits"))).drop("_hits")
+    return d.withColumn("fast_confidence", F.when(F.col("fast_level").isNotNull(), F.lit(rules.FAST_CONFIDENCE)).otherwise(F.lit(0.0)))
 
 
 def combine(fast: Column, fast_conf: Column, emb: Column, emb_conf: Column) -> tuple[Column, Column, Column]:
@@ -38,7 +38,7 @@ def redact(df: DataFrame, text: str = "text", site: rules.Site = rules.Site(), t
     """Adds spans (deduplicated), mapping, redacted, entity_count and redaction_applied."""
     t = F.coalesce(F.col(text), F.lit(""))
     # Each step refers to the column before it, so that no span is searched for twice.
-    out = df.withColumn("_raw", C.detect(t, site, types)).withColumn("spans", C.dedup(F.col("_raw"))).drop("_raw").withColumn("mapping", C.mapping(F.col("spans")))
+    out = df.withColumn("_low", F.lower(t)).withColumn("_raw", C.detect(t, site, types, low=F.col("_low"))).drop("_low").withColumn("spans", C.dedup(F.col("_raw"))).drop("_raw").withColumn("mapping", C.mapping(F.col("spans")))
     return out.withColumns({"redacted": C.redact(F.coalesce(F.col(text), F.lit("")), F.col("mapping")), "entity_count": F.size("spans"), "redaction_applied": F.size("spans") > 0})
 
 
@@ -54,7 +54,8 @@ def scan(df: DataFrame, spans: str = "spans", checks: tuple[str, ...] = rules.DE
 
 def guard_input(df: DataFrame, text: str = "text", level: str = "level") -> DataFrame:
     """Adds allowed, action, reason, rails and suggested_route; the secret rail overrides the sensitivity rail's reason."""
-    d = df.withColumns({"_n_secret": C.secret_count(F.col(text)), "_pii": C.pii_labels(F.col(text))})
+    low = F.col("_low")
+    d = df.withColumn("_low", F.lower(text)).withColumns({"_n_secret": C.secret_count(F.col(text), low), "_pii": C.pii_labels(F.col(text), low)}).drop("_low")
     blocked = F.upper(F.coalesce(F.col(level), F.lit(""))).isin(*rules.INPUT_BLOCKED)
     secret, pii = F.col("_n_secret") > 0, F.size("_pii") > 0
     action = F.when(blocked | secret, F.lit("BLOCK_SAAS")).when(pii, F.lit("REQUIRE_REDACTION")).otherwise(F.lit("ALLOW"))
@@ -85,14 +86,14 @@ def guard_output(df: DataFrame, text: str = "text", entities: str = "entities")
 
 def guard_egress(df: DataFrame, text: str = "redacted", level: str = "level", strict: bool = False) -> DataFrame:
     """Adds rail (the first that fails, or null) and approved: sensitivity, secrets, personal data, placeholders."""
-    t = F.col(text)
+    t, low = F.col(text), F.col("_low")
     rail = (
         F.when(F.upper(F.coalesce(F.col(level), F.lit(""))).isin(*rules.EGRESS_BLOCKED), F.lit("sensitivity_gate"))
-        .when(C.secret_count(t) > 0, F.lit("secret_scan"))
-        .when(F.size(C.pii_labels(t)) > 0, F.lit("pii_verification"))
+        .when(C.secret_count(t, low) > 0, F.lit("secret_scan"))
+        .when(F.size(C.pii_labels(t, low)) > 0, F.lit("pii_verification"))
         .when(~C.placeholders_ok(t, strict), F.lit("placeholder_integrity"))
     )
-    return df.withColumn("rail", rail).withColumn("approved", F.col("rail").isNull())
+    return df.withColumn("_low", F.lower(t)).withColumn("rail", rail).drop("_low").withColumn("approved", F.col("rail").isNull())
 
 
 def decide(df: DataFrame, text: str = "text") -> DataFrame:

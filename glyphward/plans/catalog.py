@@ -22,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 _PHRASES = (
     "salary and revenue on Monday", "ssn 123-45-6789 of EMP-00123", "call 212-555-0187 now", "key sk_live_abcdefghij0123456789AB", "card 4111 1111 1111 1111 paid",
     "<PERSON_1> met <PERSON_3> and <EMAIL_ADDRESS_1>", "password = hunter2hunter2", "see api.platform.svc.cluster.local and a zero-day", "mail user7@corp.example and user7@corp.example again",
-    "Project Titan uses voice in its invoice at https://x.internal/a", "host 10.1.2.3 in our cluster",
+    "Project Meridian uses voice in its invoice at https://x.internal/a", "host 10.1.2.3 in our cluster",
 )
 _MOD = 13
 INJECTED = "concat(coalesce(text, ''), CASE doc_id % 13 " + " ".join(f"WHEN {k} THEN ' {p}'" for k, p in enumerate(_PHRASES)) + " ELSE '' END)"
@@ -83,12 +83,14 @@ def scan_documents(spark, sf_dir):
 
 @query(f"{_D} SELECT doc_id, array_to_string(list_sort({_PATTERN_LIST}), ',') AS signals FROM d")
 def fast_path_patterns(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(C.pattern_signals(F.col("t")), ",").alias("signals"))
+    d = _docs(spark, sf_dir).withColumn("low", F.lower("t")).withColumn("hits", C.hits(F.col("t"), F.col("low"), keywords=False))
+    return d.select("doc_id", F.array_join(C.signals(F.col("hits")), ",").alias("signals"))
 
 
 @query(f"{_D} SELECT doc_id, array_to_string(list_sort({_KEYWORD_LIST}), ',') AS signals FROM d")
 def fast_path_keywords(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(C.keyword_signals(F.col("t")), ",").alias("signals"))
+    d = _docs(spark, sf_dir).withColumn("low", F.lower("t")).withColumn("hits", C.hits(F.col("t"), F.col("low"), patterns=False))
+    return d.select("doc_id", F.array_join(C.signals(F.col("hits")), ",").alias("signals"))
 
 
 @query(f"{_D}, f AS (SELECT doc_id, {_fast()} AS fast_level FROM d) SELECT doc_id, fast_level, CASE WHEN fast_level IS NULL THEN 0.0::DOUBLE ELSE 0.95::DOUBLE END AS fast_confidence FROM f")
@@ -170,7 +172,50 @@ for _name, _pattern in rules.PII_PATTERNS:
     _span_query(_name, _pattern)
 
 
-@query()
+def _luhn(v: str) -> str:
+    digits = f"list_reverse(string_split(regexp_replace({v}, '[^0-9]', '', 'g'), ''))"
+    return f"list_sum(list_transform({digits}, lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN CAST(x AS INTEGER) > 4 THEN 2 * CAST(x AS INTEGER) - 9 ELSE 2 * CAST(x AS INTEGER) END)) % 10 = 0"
+
+
+def _plain(pattern: str) -> str:
+    """The pattern without what the oracle's expressions lack: look-arounds, which become word boundaries or a check of the value."""
+    return pattern.replace(r"(?:^|(?<=\W))", r"\b").replace(r"(?=\W|$)", r"\b").replace(r"(?!000|666|9\d\d)", "").replace("(?!00)", "").replace("(?!0000)", "")
+
+
+def _find_sql(k: int, etype: str, pattern: str, score: float) -> str:
+    """Spans of one recognizer: a match starts after the pieces between the matches before it, and those."""
+    rx = _q("(?ims)" + _plain(pattern))
+    checks = {"CREDIT_CARD": _luhn("value"), "US_SSN": "NOT regexp_matches(value, '^(000|666|9)|-00-|-0000$')"}
+    return (
+        f"SELECT doc_id, {k} AS ord, '{etype}' AS etype, {-score}::DOUBLE AS nscore, {int(etype not in rules.PREFERRED)} AS pref, start, start + length(value) AS stop, value"
+        f" FROM (SELECT doc_id, v[i] AS value, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS start"
+        f" FROM (SELECT doc_id, v, b, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {rx}, 0) AS v, string_split_regex(t, {rx}) AS b FROM d WHERE regexp_matches(t, {rx}))))"
+        f" WHERE {checks.get(etype, 'true')}"
+    )
+
+
+#: Tables d (documents), kept (spans after the fold: doc_id, g, start, stop, etype, value), m (mapping) and red (redacted texts).
+_SPANS = (
+    _D.replace("WITH d", "WITH RECURSIVE d", 1)
+    + ", every AS (" + " UNION ALL ".join(_find_sql(k, *r) for k, r in enumerate(rules.recognizers())) + "),"
+    " s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, nscore, pref, ord, stop) AS k FROM every),"
+    " fold AS (SELECT doc_id, k, CAST(1 AS BIGINT) AS g, start, stop, nscore, pref, etype, value FROM s WHERE k = 1 UNION ALL"
+    " SELECT doc_id, k, g + free, CASE WHEN take THEN s_start ELSE start END, CASE WHEN take THEN s_stop ELSE stop END, CASE WHEN take THEN s_nscore ELSE nscore END,"
+    " CASE WHEN take THEN s_pref ELSE pref END, CASE WHEN take THEN s_etype ELSE etype END, CASE WHEN take THEN s_value ELSE value END"
+    " FROM (SELECT f.doc_id, s.k, f.g, CAST(s.start >= f.stop AS BIGINT) AS free, s.start >= f.stop OR s.nscore < f.nscore OR (s.nscore = f.nscore AND s.pref < f.pref) AS take,"
+    " f.start, f.stop, f.nscore, f.pref, f.etype, f.value, s.start AS s_start, s.stop AS s_stop, s.nscore AS s_nscore, s.pref AS s_pref, s.etype AS s_etype, s.value AS s_value"
+    " FROM fold f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1)),"
+    " kept AS (SELECT doc_id, g, arg_max(start, k) AS start, arg_max(stop, k) AS stop, arg_max(etype, k) AS etype, arg_max(value, k) AS value FROM fold GROUP BY doc_id, g),"
+    " firsts AS (SELECT doc_id, value, min(g) AS g, arg_min(etype, g) AS etype FROM kept GROUP BY doc_id, value),"
+    " m AS (SELECT doc_id, value, etype, g, '<' || etype || '_' || CAST(row_number() OVER (PARTITION BY doc_id, etype ORDER BY g) AS VARCHAR) || '>' AS placeholder FROM firsts),"
+    " o AS (SELECT doc_id, value, placeholder, row_number() OVER (PARTITION BY doc_id ORDER BY length(value) DESC, g) AS k FROM m),"
+    " steps AS (SELECT doc_id, t, CAST(0 AS BIGINT) AS k FROM d UNION ALL SELECT r.doc_id, replace(r.t, o.value, o.placeholder), o.k FROM steps r JOIN o ON r.doc_id = o.doc_id AND o.k = r.k + 1),"
+    " red AS (SELECT doc_id, arg_max(t, k) AS redacted FROM steps GROUP BY doc_id),"
+    " counts AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id)"
+)
+
+
+@query(_SPANS + " SELECT doc_id, CAST(g - 1 AS INTEGER) AS ord, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, etype FROM kept")
 def dedup_spans(spark, sf_dir):
     d = privacy.redact(_docs(spark, sf_dir), "t").select("doc_id", F.posexplode("spans").alias("ord", "s"))
     return d.select("doc_id", "ord", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.etype").alias("etype"))
@@ -206,12 +251,16 @@ def restore_roundtrip(spark, sf_dir):
     return d.select("doc_id", F.md5(t).alias("restored_md5"), n.alias("n_restored"))
 
 
-@query()
+@query(_SPANS + " SELECT doc_id, md5(redacted) AS redacted_md5, CAST(coalesce(n, 0) AS INTEGER) AS entity_count, coalesce(n, 0) > 0 AS redaction_applied FROM red LEFT JOIN counts USING (doc_id)")
 def redact_all_types(spark, sf_dir):
     return privacy.redact(_docs(spark, sf_dir), "t").select("doc_id", F.md5("redacted").alias("redacted_md5"), "entity_count", "redaction_applied")
 
 
-@query()
+_CATEGORY = "CASE etype " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in rules.CHECK_TYPES.items()) + " ELSE 'CONTEXTUAL' END"
+_FINDINGS = f"f AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT c, ',' ORDER BY c) AS categories FROM (SELECT doc_id, {_CATEGORY} AS c FROM kept) WHERE c IN ('PII', 'SECRETS', 'INTERNAL_REFS') GROUP BY doc_id)"
+
+
+@query(f"{_SPANS}, {_FINDINGS} SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_findings, coalesce(n, 0) = 0 AS clean, coalesce(categories, '') AS categories FROM d LEFT JOIN f USING (doc_id)")
 def scan_findings(spark, sf_dir):
     d = privacy.scan(privacy.redact(_docs(spark, sf_dir), "t"))
     return d.select("doc_id", F.size("findings").alias("n_findings"), "clean", F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda s: C.check_type(s["etype"])))), ",").alias("categories"))
@@ -277,7 +326,7 @@ def guard_retrieval(spark, sf_dir):
 
 
 _FOUND = _list(f"CASE WHEN regexp_matches(t, {_q(p)}) THEN 'SECRET:{k}' END" for k, p in enumerate(rules.SECRET_PATTERNS))
-_ENTITIES = "CASE doc_id % 4 WHEN 0 THEN ['TITAN', 'user7@corp.example', 'titan'] WHEN 1 THEN NULL ELSE ['nobody here'] END"
+_ENTITIES = "CASE doc_id % 4 WHEN 0 THEN ['MERIDIAN', 'user7@corp.example', 'meridian'] WHEN 1 THEN NULL ELSE ['nobody here'] END"
 _BACK = f"len(list_filter(coalesce({_ENTITIES}, []), lambda e: contains(lower(t), lower(e))))"
 
 
@@ -287,7 +336,7 @@ _BACK = f"len(list_filter(coalesce({_ENTITIES}, []), lambda e: contains(lower(t)
     " array_to_string(s || list_transform(p, lambda x: 'PII:' || x) || CASE WHEN n > 0 THEN ['RECONSTRUCTION:' || CAST(n AS VARCHAR)] ELSE [] END, ',') AS findings, n AS n_reconstructed FROM g"
 )
 def guard_output(spark, sf_dir):
-    entities = F.expr("CASE doc_id % 4 WHEN 0 THEN array('TITAN', 'user7@corp.example', 'titan') WHEN 1 THEN NULL ELSE array('nobody here') END")
+    entities = F.expr("CASE doc_id % 4 WHEN 0 THEN array('MERIDIAN', 'user7@corp.example', 'meridian') WHEN 1 THEN NULL ELSE array('nobody here') END")
     d = privacy.guard_output(_docs(spark, sf_dir).withColumn("entities", entities), "t")
     return d.select("doc_id", "action", F.array_join("findings", ",").alias("findings"), "n_reconstructed")
 
@@ -349,16 +398,22 @@ def tumbling_counts(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(hour.alias("bucket"), "event_type").agg(F.count("*").alias("n"))
 
 
-_HEADED = "concat('intro ', CAST(doc_id AS STRING), chr(10), '## First part', chr(10), coalesce(text, ''), '.', chr(10), '### not a boundary', chr(10), '##  Second', chr(10), 'tail')"
+#: The whole text under headings of its own and of ours, with lines that only look like one.
+_HEADED = "concat('intro ', CAST(doc_id AS STRING), chr(10), '## First part', chr(10), coalesce(text, ''), '.', chr(10), '### not a boundary', chr(10), '## ', chr(10), '##  Second', chr(10), 'tail', chr(10), '##x', chr(10), '## empty', chr(10), ' ')"
+_BLANKS = "'^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'"
 
 
 @query(
-    "WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t FROM documents)"
-    " SELECT doc_id, 0 AS idx, 'Preamble' AS section, md5('Preamble:0') AS chunk_id FROM d UNION ALL SELECT doc_id, 1, 'First part', md5('First part:1') FROM d UNION ALL SELECT doc_id, 2, 'Second', md5('Second:2') FROM d"
+    f"WITH d AS (SELECT doc_id, string_split(regexp_replace(chr(10) || {_HEADED.replace('STRING', 'VARCHAR')}, '\\n##([\\x20\\x09\\x0B-\\x0D][^\\n]+)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM documents),"
+    " e AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS c FROM d),"
+    f" b AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Preamble' ELSE regexp_replace(string_split(c, chr(2))[1], {_BLANKS}) END AS section,"
+    f" regexp_replace(CASE WHEN i = 1 THEN c ELSE string_split(c, chr(2))[2] END, {_BLANKS}) AS body FROM e),"
+    " k AS (SELECT doc_id, section, body, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx FROM b WHERE body <> '')"
+    " SELECT doc_id, CAST(idx AS INTEGER) AS idx, section, md5(body) AS body_md5, md5(section || ':' || CAST(idx AS VARCHAR)) AS chunk_id FROM k"
 )
 def chunk_headings(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED).alias("text"))
-    return corpus.chunk_headings(d).select("doc_id", "idx", "section", "chunk_id")
+    return corpus.chunk_headings(d).select("doc_id", "idx", "section", F.md5("body").alias("body_md5"), "chunk_id")
 
 
 @query(_SCORES + "SELECT l.vec_id, CASE WHEN list_position(['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'REGULATED', 'NEVER_EGRESS'], l.emb_level) >= 1 + l.label % 5 THEN l.emb_level ELSE " + _LEVEL_OF.replace("label", "l.label") + " END AS level FROM l")
@@ -380,7 +435,13 @@ def stratified_split(spark, sf_dir):
     return corpus.stratified_split(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "lang").select("doc_id", "lang", "split")
 
 
-@query("WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k FROM embeddings), f AS (SELECT * FROM k WHERE k <= 34), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, row_number() OVER (PARTITION BY x.label ORDER BY md5(CAST(x.vec_id AS VARCHAR) || ':' || CAST(y.vec_id AS VARCHAR)), x.vec_id, y.vec_id) AS n FROM f x JOIN f y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT label, a, b FROM p WHERE n <= 500")
+@query(
+    "WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS k FROM (SELECT DISTINCT label, vec_id FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL)),"
+    " every AS (SELECT x.label, y.k * (y.k - 1) // 2 + x.k AS p, least(x.vec_id, y.vec_id) AS a, greatest(x.vec_id, y.vec_id) AS b FROM k x JOIN k y ON x.label = y.label AND x.k < y.k),"
+    " m AS (SELECT label, count(*) AS m FROM every GROUP BY label),"
+    f" drawn AS (SELECT label, (t * (CASE WHEN m % {corpus.STEPS[0]} <> 0 THEN {corpus.STEPS[0]} ELSE {corpus.STEPS[1]} END % m) + CAST('0x' || left(md5(CAST(label AS VARCHAR)), 8) AS BIGINT)) % m AS p FROM (SELECT label, m, unnest(range(least(500, m))) AS t FROM m))"
+    " SELECT label, a, b FROM every JOIN drawn USING (label, p)"
+)
 def positive_pairs(spark, sf_dir):
     return corpus.positive_pairs(_t(spark, sf_dir, "embeddings").select("label", "vec_id"), "label", "vec_id")
 
@@ -432,10 +493,23 @@ def latency_stats(spark, sf_dir):
     return metrics.latency_stats(_t(spark, sf_dir, "events"), "value", ("event_type",))
 
 
-@query()
+_WANTED = (("EMAIL_ADDRESS", _MAIL), ("PHONE_NUMBER", rules.PII_PATTERNS[2][1]), ("IP_ADDRESS", rules.PII_PATTERNS[4][1]))
+_PRF = "round(coalesce({a} / nullif({b}, 0), 0), 4)"
+
+
+@query(
+    _SPANS
+    + ", w AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS etype, unnest(regexp_extract_all(t, {_q(p)}, 0)) AS value FROM d" for n, p in _WANTED) + "),"
+    " w2 AS (SELECT w.etype, EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = w.doc_id AND (k.etype = w.etype OR lower(k.value) = lower(w.value))) AS hit FROM w),"
+    " pos AS (SELECT etype, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fn FROM w2 GROUP BY etype),"
+    " neg AS (SELECT etype, count(*) AS fp FROM (SELECT DISTINCT doc_id, etype FROM kept) k WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = k.doc_id AND w.etype = k.etype) GROUP BY etype),"
+    " c AS (SELECT coalesce(pos.etype, neg.etype) AS etype, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp FROM pos FULL JOIN neg ON pos.etype = neg.etype),"
+    " r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c)"
+    " SELECT etype, tp, fn, fp, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r"
+)
 def entity_prf(spark, sf_dir):
     t = F.col("t")
-    want = F.concat(*(F.transform(C.find_all(t, p, n, 1.0, 0), lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value"))) for n, p in (("EMAIL_ADDRESS", _MAIL), ("PHONE_NUMBER", rules.PII_PATTERNS[2][1]), ("IP_ADDRESS", rules.PII_PATTERNS[4][1]))))
+    want = F.concat(*(F.transform(C.find_all(t, p, n, 1.0, 0), lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value"))) for n, p in _WANTED))
     d = privacy.redact(_docs(spark, sf_dir), "t").select(want.alias("want"), F.transform("spans", lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value"))).alias("got"))
     return metrics.entity_prf(d, "want", "got")
 
@@ -464,7 +538,14 @@ def seeds_by_label(spark, sf_dir):
     return tables.seeds_by_label(d, rules.LEVELS).select("label", "n")
 
 
-@query()
+@query(
+    f"{_SPANS}, mm(mt, mv, a) AS (VALUES {_MATRIX_SQL}),"
+    f" lv AS (SELECT doc_id, coalesce({_fast()}, 'INTERNAL') AS level, {_COUNT} AS n_secret FROM d),"
+    f" e AS (SELECT red.doc_id, red.redacted, lv.level, lv.n_secret, {_RAIL.replace('t,', 'redacted,')} AS rail FROM red JOIN lv ON red.doc_id = lv.doc_id),"
+    " z AS (SELECT e.*, d.tier, coalesce(a, 'LOCAL_ONLY') AS route, coalesce(n, 0) AS n FROM e JOIN d ON e.doc_id = d.doc_id LEFT JOIN mm ON mt = upper(d.tier) AND mv = e.level LEFT JOIN counts ON counts.doc_id = e.doc_id)"
+    " SELECT doc_id, tier, level, route, rail, rail IS NULL AS approved, CAST(n AS INTEGER) AS entity_count, md5(redacted) AS redacted_md5,"
+    " CASE WHEN level IN ('CONFIDENTIAL', 'REGULATED', 'NEVER_EGRESS') OR n_secret > 0 OR rail IS NOT NULL THEN 'LOCAL_ONLY' ELSE route END AS final_route FROM z"
+)
 def flagship(spark, sf_dir):
     """Scan, redact, check for egress and route every document."""
     d = privacy.lifecycle(_docs(spark, sf_dir).withColumnRenamed("t", "text"))
