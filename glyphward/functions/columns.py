@@ -66,8 +66,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Numbers summed in one run of starts_of; appending to an array copies it, so neither a run nor the list of runs may be long.
-RUN = 64
+#: Numbers summed in one run of starts_of; appending to an array copies it, so runs must be short.
+RUN = 128
 
 
 def starts_of(sizes: Column) -> Column:
@@ -77,20 +77,12 @@ def starts_of(sizes: Column) -> Column:
         nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(values, nil, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
 
-    def by_run(values, inner):
+    def by_run(values):
         runs = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(RUN)), lambda k: F.slice(values, k, F.lit(RUN)))
+        firsts = lambda runs: sums(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n)))
+        return let(runs, lambda runs: F.flatten(F.zip_with(runs, firsts(runs), lambda r, s: F.transform(sums(r), lambda x: x + s))))
 
-        def joined(runs):
-            totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
-            return let(let(totals, inner), lambda first: F.flatten(F.zip_with(runs, first, lambda r, s: F.transform(sums(r), lambda x: x + s))))
-
-        return let(runs, joined)
-
-    def of(v):
-        few = F.when(F.size(v) == 0, F.array().cast("array<int>")).when(F.size(v) <= RUN, sums(v))
-        return few.when(F.size(v) <= RUN * RUN, by_run(v, sums)).otherwise(by_run(v, lambda t: by_run(t, sums)))
-
-    return let(sizes, of)
+    return let(sizes, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(by_run(v)))
 
 
 def placed(text: Column, pattern: str, group: int = 0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphward.functions import columns as C
 from glyphward.functions import rules
-from glyphward.operators import corpus, metrics, privacy
+from glyphward.operators import corpus, metrics, privacy, routing
 from glyphward.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,10 +113,10 @@ l AS (SELECT *, CASE WHEN emb_score < 0.35 THEN 'INTERNAL' {" ".join(f"WHEN s{k}
 """
 
 
-def _anchored(spark, sf_dir):
+def _anchored(spark, sf_dir, rounded=True):
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     anchors = e.filter("vec_id < 100").select(C.level_of(F.col("label") % 5).alias("level"), "embedding")
-    return corpus.anchor_scores(e.filter("vec_id >= 100"), anchors)
+    return corpus.anchor_scores(e.filter("vec_id >= 100"), anchors, rounded=rounded)
 
 
 @query(_SCORES + f"SELECT vec_id, {', '.join(f's{k} AS {v.lower()}' for k, v in enumerate(rules.LEVELS))} FROM p")
@@ -147,6 +147,12 @@ def classify_combined(spark, sf_dir):
     return d.select("doc_id", level.alias("level"), conf.alias("confidence"), source.alias("origin"))
 
 
+def _classified(spark, sf_dir):
+    emb = corpus.embedding_level(_anchored(spark, sf_dir)).select(F.col("vec_id"), "emb_level", "emb_score")
+    d = privacy.fast_path(_docs(spark, sf_dir), "t").select("doc_id", F.nullif(F.col("tier"), F.lit("MEDIUM")).alias("tier"), "fast_level", "fast_confidence")
+    return routing.classify(d.join(emb, F.col("doc_id") == F.col("vec_id"), "left"))
+
+
 _ORDER_KEYS = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'simple' WHEN '2' THEN 'MEDIUM' WHEN '3' THEN 'COMPLEX' WHEN '4' THEN 'REASONING' ELSE 'OTHER' END AS tier, CASE o_orderkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'REGULATED' WHEN 4 THEN 'NEVER_EGRESS' ELSE 'UNKNOWN' END AS level"
 _MATRIX_SQL = ", ".join(f"('{t}', '{v}', '{a}')" for t, v, a in rules.MATRIX)
 
@@ -157,6 +163,15 @@ def routing_matrix(spark, sf_dir):
     return o.select("o_orderkey", privacy.routing_action(F.col("tier"), F.col("level")).alias("routing_action"))
 
 
+@query(
+    f"WITH m(mt, mv, act) AS (VALUES {_MATRIX_SQL}) SELECT c.doc_id, c.level, c.confidence, c.origin, coalesce(act, 'LOCAL_ONLY') AS routing_action"
+    f" FROM ({ORACLE_SQL['classify_combined']}) c JOIN (SELECT doc_id, {TIER} AS tier FROM documents) d ON c.doc_id = d.doc_id LEFT JOIN m ON mt = d.tier AND mv = c.level"
+)
+def classify_routed(spark, sf_dir):
+    """The whole classification with its route; a null tier (here where it was MEDIUM) counts as MEDIUM."""
+    return _classified(spark, sf_dir).select("doc_id", "level", "confidence", "origin", "routing_action")
+
+
 def _span_query(name, pattern):
     def run(spark, sf_dir):
         spans = C.find_all(F.col("t"), pattern, name, 1.0, 0)
@@ -266,11 +281,32 @@ def scan_findings(spark, sf_dir):
     return d.select("doc_id", F.size("findings").alias("n_findings"), "clean", F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda s: C.check_type(s["etype"])))), ",").alias("categories"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 300 SECOND FROM events)")
-def mapping_ttl(spark, sf_dir):
+#: Events as the log of a mapping store: every second one of a user's puts, the others get.
+_OPS_SQL = "ops AS (SELECT user_id AS mapping_id, CASE WHEN event_id % 2 = 0 THEN 'put' ELSE 'get' END AS op, event_type AS payload, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", event_id AS seq FROM events)"
+
+
+def _ops(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    return e.join(F.broadcast(last), F.expr("ts >= last - INTERVAL 300 SECOND")).select("event_id", "user_id")
+    return e.select(F.col("user_id").alias("mapping_id"), F.when(F.col("event_id") % 2 == 0, F.lit("put")).otherwise(F.lit("get")).alias("op"), F.col("event_type").alias("payload"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
+
+
+@query(
+    f"WITH {_OPS_SQL}, l AS (SELECT *, lag(op) OVER w AS lop, lag(payload) OVER w AS lp, lag(\"at\") OVER w AS la FROM ops WINDOW w AS (PARTITION BY mapping_id ORDER BY \"at\", seq))"
+    " SELECT mapping_id, seq, coalesce(lop = 'put' AND \"at\" - la <= 7200, false) AS found, CASE WHEN lop = 'put' AND \"at\" - la <= 7200 THEN lp END AS payload FROM l WHERE op = 'get'"
+)
+def mapping_ttl(spark, sf_dir):
+    """What each get finds; two hours suit the test table's sparse events."""
+    return routing.mapping_reads(_ops(spark, sf_dir), 7200)
+
+
+@query(
+    f"WITH {_OPS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY mapping_id ORDER BY \"at\" DESC, seq DESC) AS k FROM ops)"
+    " SELECT mapping_id, payload, \"at\" FROM k WHERE k = 1 AND op = 'put' AND (SELECT max(\"at\") FROM ops) - \"at\" <= 86400"
+)
+def mapping_active(spark, sf_dir):
+    ops = _ops(spark, sf_dir)
+    last = ops.agg(F.max("at").alias("_now"))
+    return routing.active_mappings(ops, F.lit(last.first()[0]), 86400)
 
 
 _CARD = r"[0-9]{16}"
@@ -318,11 +354,22 @@ def guard_input(spark, sf_dir):
 _ROUTE = "CASE doc_id % 3 WHEN 0 THEN 'GPT-4' WHEN 1 THEN 'qwen' ELSE NULL END"
 
 
-@query(f"{_D}, r AS (SELECT doc_id, level, {_ROUTE} AS route FROM d) SELECT doc_id, CASE WHEN (route IS NULL OR regexp_matches(lower(route), '^(gemini|gpt|claude|openai)')) AND {_BLOCK} THEN 0 ELSE 1 END AS n_kept, CASE WHEN (route IS NULL OR regexp_matches(lower(route), '^(gemini|gpt|claude|openai)')) AND {_BLOCK} THEN '0' ELSE '' END AS removed FROM r")
+_CHUNK_LEVELS = "{list}(level, 'public', CASE WHEN doc_id % 7 < 3 THEN 'Regulated' END, CASE doc_id % 5 WHEN 0 THEN 'NEVER_EGRESS' WHEN 1 THEN 'INTERNAL' ELSE 'confidential' END)"
+
+
+@query(
+    f"{_D}, r AS (SELECT doc_id, t, {_ROUTE} AS route, {_CHUNK_LEVELS.format(list='list_value')} AS s FROM d),"
+    " c AS (SELECT doc_id, t, i, (route IS NULL OR regexp_matches(lower(route), '^(gemini|gpt|claude|openai)')) AND upper(coalesce(s[i + 1], 'PUBLIC')) IN ('CONFIDENTIAL', 'REGULATED', 'NEVER_EGRESS') AS bad FROM (SELECT *, unnest(range(4)) AS i FROM r))"
+    " SELECT doc_id, CAST(count(*) FILTER (WHERE NOT bad) AS INTEGER) AS n_kept, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE bad), '') AS removed,"
+    " md5(coalesce(string_agg(CAST(i AS VARCHAR) || ':' || t, chr(10) ORDER BY i) FILTER (WHERE NOT bad), '')) AS kept_md5 FROM c GROUP BY doc_id"
+)
 def guard_retrieval(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.array(F.struct("t", F.col("level").alias("sensitivity"))).alias("chunks"), F.expr(_ROUTE).alias("route"))
+    levels = F.expr(_CHUNK_LEVELS.format(list="array"))
+    chunks = F.transform(levels, lambda s, i: F.struct(F.concat(i.cast("string"), F.lit(":"), "t").alias("text"), s.alias("sensitivity")))
+    d = _docs(spark, sf_dir).select("doc_id", chunks.alias("chunks"), F.expr(_ROUTE).alias("route"))
     kept, gone = privacy.filter_chunks(F.col("chunks"), F.col("route"))
-    return d.select("doc_id", F.size(kept).alias("n_kept"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    d = d.withColumns({"kept": kept, "gone": gone})
+    return d.select("doc_id", F.size("kept").alias("n_kept"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"), F.md5(F.array_join(F.transform("kept", lambda c: c["text"]), "\n")).alias("kept_md5"))
 
 
 _FOUND = _list(f"CASE WHEN regexp_matches(t, {_q(p)}) THEN 'SECRET:{k}' END" for k, p in enumerate(rules.SECRET_PATTERNS))
@@ -349,10 +396,15 @@ def guard_egress(spark, sf_dir):
     return privacy.guard_egress(_docs(spark, sf_dir), "t").select("doc_id", "rail", "approved")
 
 
-_GAP = "concat('<A_', CAST(1 + doc_id % 2 AS STRING), '> <A_1> <B_C_', CAST(1 + doc_id % 3 AS STRING), '> <B_C_1> <B_C_2>')"
+_GAP = "concat(coalesce(text, ''), ' <A_', CAST(1 + doc_id % 4 AS STRING), '> <A_1><A_1> <B_C_', CAST(1 + doc_id % 3 AS STRING), '> <B_C_1> <A_B_C_', CAST(1 + doc_id % 2 AS STRING), '> <X> <a_7> <P2_5>')"
 
 
-@query("SELECT doc_id, (doc_id % 2 + 1) <= 2 AND (doc_id % 3 + 1) <= 3 AS ok FROM documents")
+@query(
+    f"WITH p AS (SELECT doc_id, unnest(regexp_extract_all({_GAP.replace('STRING', 'VARCHAR')}, '<[A-Z_]+_\\d+>', 0)) AS v FROM documents),"
+    " n AS (SELECT DISTINCT doc_id, regexp_extract(v, '^<(.*)_(\\d+)>$', 1) AS t, CAST(regexp_extract(v, '^<(.*)_(\\d+)>$', 2) AS BIGINT) AS n FROM p),"
+    " g AS (SELECT doc_id, t, min(n) = 1 AND max(n) = count(*) AS whole FROM n GROUP BY doc_id, t)"
+    " SELECT doc_id, coalesce(bool_and(whole), true) AS ok FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id"
+)
 def placeholder_gaps(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", C.placeholder_gaps_ok(F.expr(_GAP)).alias("ok"))
 
@@ -452,12 +504,12 @@ def prompt_plan(spark, sf_dir):
 
 
 def _judged(spark, sf_dir, threshold=0.0):
-    e = corpus.embedding_level(_anchored(spark, sf_dir), threshold)
+    e = corpus.embedding_level(_anchored(spark, sf_dir, rounded=False), threshold)
     return e.select("vec_id", C.level_of(F.col("label") % 5).alias("truth"), F.col("emb_level").alias("pred"))
 
 
 _TRUTH = _LEVEL_OF
-_CONF = _SCORES + f", j AS (SELECT vec_id, {_TRUTH} AS truth, pred, emb_level FROM l)"
+_CONF = _SCORES.replace("round(avg(s), 4)", "avg(s)") + f", j AS (SELECT vec_id, {_TRUTH} AS truth, pred, emb_level FROM l)"
 _F1 = "SELECT label, sum(tp) AS tp, sum(sup) AS support, sum(prd) AS predicted FROM (SELECT truth AS label, CAST(truth = {p} AS BIGINT) AS tp, 1 AS sup, 0 AS prd FROM j UNION ALL SELECT {p}, 0, 0, 1 FROM j) GROUP BY label"
 _F1S = "SELECT label, CAST(tp AS BIGINT) AS tp, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, round(coalesce(tp / nullif(predicted, 0), 0), 4) AS precision, round(coalesce(tp / nullif(support, 0), 0), 4) AS recall, round(coalesce(2 * coalesce(tp / nullif(predicted, 0), 0) * coalesce(tp / nullif(support, 0), 0) / nullif(coalesce(tp / nullif(predicted, 0), 0) + coalesce(tp / nullif(support, 0), 0), 0), 0), 4) AS f1 FROM "
 
@@ -550,3 +602,165 @@ def flagship(spark, sf_dir):
     """Scan, redact, check for egress and route every document."""
     d = privacy.lifecycle(_docs(spark, sf_dir).withColumnRenamed("t", "text"))
     return d.select("doc_id", "tier", "level", "route", "rail", "approved", "entity_count", F.md5("redacted").alias("redacted_md5"), "final_route")
+
+
+_SECTIONED = "concat('short', chr(10), '---', chr(10), coalesce(text, ''), chr(10), '---', chr(10), '  a part that is long enough  ', chr(10), '---', chr(10), chr(10), '--- not alone', chr(10))"
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, string_split({_SECTIONED}, chr(10) || '---' || chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS c FROM p),"
+    f" b AS (SELECT doc_id, i, regexp_replace(c, {_BLANKS}) AS body FROM e)"
+    " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, md5(body) AS body_md5 FROM b WHERE length(body) >= 20"
+)
+def chunk_sections(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTIONED).alias("text"))
+    return corpus.chunk_sections(d).select("doc_id", "idx", F.md5("body").alias("body_md5"))
+
+
+@query(
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM v q, v c WHERE q.vec_id % 50 = 0),"
+    " r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= 5"
+)
+def nearest_vectors(spark, sf_dir):
+    """The stated queries, every vector whose id is divisible by 50, against all vectors."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return corpus.nearest(e.filter("id % 50 = 0"), e)
+
+
+@query(f"SELECT doc_id, CAST(list_position(['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'REGULATED', 'NEVER_EGRESS'], level) - 1 AS INTEGER) AS label FROM (SELECT doc_id, {LEVEL} AS level FROM documents) WHERE level <> 'internal'")
+def label_dataset(spark, sf_dir):
+    return corpus.label_dataset(_t(spark, sf_dir, "documents").select("doc_id", "text", F.expr(LEVEL).alias("tier"))).select("doc_id", "label")
+
+
+@query(f"WITH k AS (SELECT doc_id, doc_id % 3 = 1 AS is_seed, row_number() OVER (PARTITION BY lower({_STRIP}) ORDER BY doc_id % 3 <> 1, doc_id) AS n FROM documents WHERE length({_STRIP}) >= 15) SELECT doc_id, is_seed FROM k WHERE n = 1")
+def seed_union(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("key"))
+    return corpus.seed_union(d.filter("doc_id % 3 = 1"), d.filter("doc_id % 3 <> 1")).select("doc_id", "is_seed")
+
+
+_LINES = "list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'))"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, text, {_LINES} AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l), f AS (SELECT doc_id, x, min(i) AS i FROM e GROUP BY doc_id, x),"
+    " j AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM f GROUP BY doc_id)"
+    " SELECT doc_id, md5(CASE WHEN strlen(text) >= 1000 THEN t ELSE text END) AS compressed_md5 FROM l LEFT JOIN j USING (doc_id)"
+)
+def compress_context(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(routing.compressed(F.col("text"), 1000)).alias("compressed_md5"))
+
+
+_MODEL = "CASE conv_id % 4 WHEN 0 THEN 'qwen3.6-35b-a3b' WHEN 1 THEN 'gemini-3-flash-preview' WHEN 2 THEN 'gemini-3.1-pro-preview' END"
+
+
+@query(
+    f"WITH t AS (SELECT conv_id, {_MODEL} AS model, CAST(sum(CASE WHEN role <> 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS tokens_out FROM conversations GROUP BY conv_id),"
+    f" p(m, i, o) AS (VALUES {', '.join(f'({_q(m)}, {a}::DOUBLE, {b}::DOUBLE)' for m, a, b in routing.PRICES)})"
+    f" SELECT conv_id, round((tokens_in * i + tokens_out * o) / 1e6::DOUBLE, 9) AS cost, coalesce(model, '{routing.FALLBACK_MODEL}') AS served_by FROM t LEFT JOIN p ON m = model"
+)
+def model_cost(spark, sf_dir):
+    n = lambda own: F.coalesce(F.sum(F.when(own, F.length("text")).otherwise(0)), F.lit(0)).cast("long")
+    t = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(n(F.col("role") != "assistant").alias("tokens_in"), n(F.col("role") == "assistant").alias("tokens_out")).withColumn("model", F.expr(_MODEL))
+    return routing.cost(t).select("conv_id", F.round("cost", 9).alias("cost"), routing.with_fallback(F.col("model"), F.lit(False)).alias("served_by"))
+
+
+_IP = "concat(CASE doc_id % 5 WHEN 0 THEN '10.1' WHEN 1 THEN '172.16' WHEN 2 THEN '172.32' WHEN 3 THEN '192.168' ELSE '8.8' END, '.', CAST(doc_id % 256 AS STRING), CASE WHEN doc_id % 11 = 0 THEN '' ELSE '.9' END)"
+
+
+@query("SELECT doc_id, doc_id % 5 IN (2, 4) AND doc_id % 11 <> 0 AND doc_id % 3 <> 0 AS allowed FROM documents")
+def egress_network(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_IP).alias("ip"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 80 ELSE 443 END").alias("port"))
+    return d.select("doc_id", routing.egress_allowed(F.col("ip"), F.col("port")).alias("allowed"))
+
+
+_RULE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in [("keyword", v) for v, ks in rules.level_keywords().items() for _ in ks] + [("pattern", v) for v, ps in rules.level_patterns().items() for _ in ps] + [("recognizer", r[0]) for r in rules.recognizers()] + [("secret", "") for _ in rules.SECRET_PATTERNS] + [("pii", n) for n, _ in rules.PII_PATTERNS])
+
+
+@query(f"SELECT kind, x AS of, count(*) AS n FROM (VALUES {_RULE_ROWS}) v(kind, x) GROUP BY kind, x")
+def rule_inventory(spark, sf_dir):
+    return routing.inventory(spark)
+
+
+@query(
+    f"WITH c AS ({ORACLE_SQL['classify_combined']}) SELECT origin AS source, count(*) AS n, count(*) FILTER (WHERE c.level = upper(d.level)) AS correct,"
+    f" round(coalesce(count(*) FILTER (WHERE c.level = upper(d.level)) / nullif(count(*), 0), 0), 4) AS accuracy FROM c JOIN (SELECT doc_id, {LEVEL} AS level FROM documents) d ON c.doc_id = d.doc_id GROUP BY origin"
+)
+def source_accuracy(spark, sf_dir):
+    truth = _docs(spark, sf_dir).select("doc_id", F.upper("level").alias("truth"))
+    return metrics.source_accuracy(_classified(spark, sf_dir).join(truth, "doc_id"), "origin", "truth", "level")
+
+
+def _entities(spark, sf_dir):
+    t = F.col("t")
+    want = F.concat(*(F.transform(C.find_all(t, p, n, 1.0, 0), lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value"))) for n, p in _WANTED))
+    return privacy.redact(_docs(spark, sf_dir), "t").select("doc_id", want.alias("want"), F.transform("spans", lambda s: F.struct(s["etype"].alias("etype"), s["value"].alias("value"))).alias("got"))
+
+
+_WANT_SQL = "w AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS etype, unnest(regexp_extract_all(t, {_q(p)}, 0)) AS value FROM d" for n, p in _WANTED) + ")"
+
+
+@query(
+    f"{_SPANS}, {_WANT_SQL}, h AS (SELECT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = w.doc_id AND k.etype = w.etype AND (contains(k.value, w.value) OR contains(w.value, k.value))) AS hit FROM w)"
+    " SELECT count(*) AS expected, count(*) FILTER (WHERE hit) AS found, round(coalesce(count(*) FILTER (WHERE hit) / nullif(count(*), 0), 0), 4) AS recall FROM h"
+)
+def strict_recall(spark, sf_dir):
+    return metrics.strict_recall(_entities(spark, sf_dir), "want", "got")
+
+
+@query(
+    f"{_SPANS}, {_WANT_SQL}, k AS (SELECT DISTINCT value FROM w), f AS (SELECT value, value IN (SELECT value FROM kept) AS hit FROM k)"
+    " SELECT count(*) AS known, count(*) FILTER (WHERE hit) AS found, round(coalesce(count(*) FILTER (WHERE hit) / nullif(count(*), 0), 0), 4) AS recall FROM f"
+)
+def corpus_recall(spark, sf_dir):
+    e = _entities(spark, sf_dir)
+    return metrics.corpus_recall(e.select(F.explode("want.value").alias("value")), e.select(F.explode("got.value").alias("value")))
+
+
+@query(f"{_SPANS} SELECT count(*) AS n, count(*) AS same, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fidelity FROM counts JOIN d USING (doc_id) WHERE NOT regexp_matches(t, '<[A-Z_]+_[0-9]+>')")
+def roundtrip_fidelity(spark, sf_dir):
+    """Texts that hold placeholders of their own are left out, as restoring may fill these too."""
+    d = privacy.restore(privacy.redact(_docs(spark, sf_dir), "t")).filter(~F.col("t").rlike(r"<[A-Z_]+_[0-9]+>"))
+    return metrics.roundtrip_fidelity(d, "t", "restored", "redaction_applied")
+
+
+_EXPECTED_RAIL = "CASE doc_id % 13 WHEN 3 THEN 'secret_scan' WHEN 6 THEN 'secret_scan' WHEN 1 THEN 'pii_verification' WHEN 4 THEN 'pii_verification' END"
+
+
+@query(
+    f"{_D}, g AS (SELECT doc_id, {_RAIL} AS rail, {_EXPECTED_RAIL} AS want FROM d)"
+    " SELECT want AS rail, count(*) FILTER (WHERE rail = want) AS tp, 2 * count(*) FILTER (WHERE rail IS NULL) AS fn, count(*) FILTER (WHERE rail IS NULL) AS missed,"
+    " round(coalesce(count(*) FILTER (WHERE rail = want) / nullif(count(*) FILTER (WHERE rail = want) + 2 * count(*) FILTER (WHERE rail IS NULL), 0), 0), 4) AS detection_rate FROM g WHERE want IS NOT NULL GROUP BY want"
+)
+def egress_detection(spark, sf_dir):
+    d = privacy.guard_egress(_docs(spark, sf_dir), "t").withColumn("expected_rail", F.expr(_EXPECTED_RAIL))
+    return metrics.egress_rates(d.withColumn("expected_approved", F.col("expected_rail").isNull()))[1]
+
+
+@query(
+    f"{_D}, g AS (SELECT {_RAIL} IS NULL AS approved, ({_EXPECTED_RAIL}) IS NULL AS e FROM d)"
+    " SELECT count(*) AS n, round(coalesce(count(*) FILTER (WHERE e = approved) / nullif(count(*), 0), 0), 4) AS accuracy, count(*) FILTER (WHERE e AND NOT approved) AS false_positives, round(coalesce(count(*) FILTER (WHERE e AND NOT approved) / nullif(count(*), 0), 0), 4) AS fpr FROM g"
+)
+def egress_accuracy(spark, sf_dir):
+    d = privacy.guard_egress(_docs(spark, sf_dir), "t").withColumn("expected_rail", F.expr(_EXPECTED_RAIL))
+    return metrics.egress_rates(d.withColumn("expected_approved", F.col("expected_rail").isNull()))[0]
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE p) AS passed, count(p) AS total, count(*) FILTER (WHERE p) = count(p) AS all_passed FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value >= 0 END AS p FROM events) GROUP BY event_type")
+def pass_rollup(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE value >= 0 END").alias("p"))
+    return metrics.rollup(e, "p", ("event_type",))
+
+
+@query("SELECT count(value) AS n, round(count(value) / (sum(value) / 1000), 4) AS per_second FROM events")
+def throughput(spark, sf_dir):
+    return metrics.throughput(_t(spark, sf_dir, "events"), "value")
+
+
+@query("SELECT doc_id, left(text, 80) AS preview FROM documents")
+def text_preview(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", metrics.preview(F.col("text")).alias("preview"))
+
+
+@query(_CONF + " SELECT 'confusion' AS section, '| ' || truth || ' | ' || pred || ' | ' || CAST(count(*) AS VARCHAR) || ' |' AS markdown FROM j GROUP BY truth, pred")
+def report_markdown(spark, sf_dir):
+    return metrics.report_lines("confusion", metrics.confusion(_judged(spark, sf_dir), "truth", "pred")).select("section", "markdown")

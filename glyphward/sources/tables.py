@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LABELLED = "text string, label string, tier string, expected_label string, strategy string, source string"
@@ -40,6 +40,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def latest(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """Upsert: of equal keys, the row of the highest version."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return old.unionByName(new).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """Upsert: of equal keys, the row of the highest version; of equal versions the new one, then the greatest.
+
+    max_by is summed before the shuffle, so a key with many versions costs one row per task.
+    """
+    every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    row = F.struct(*old.columns)
+    return every.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(F.col(version), F.col("_new"), row)).alias("_row")).select("_row.*")

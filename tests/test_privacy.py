@@ -1,14 +1,16 @@
 """Goldens of the privacy operators; each trap of the blueprint has its case."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphward.functions import columns as C
 from glyphward.functions import rules
-from glyphward.operators import corpus, metrics, privacy
+from glyphward.operators import corpus, metrics, privacy, routing
 from glyphward.plans import catalog
+from glyphward.sources import tables
 
 
 def frame(spark, texts, **more):
@@ -102,22 +104,69 @@ def test_needed_literals(spark):
     assert rules.needed(rules.SECRET_PATTERNS[2], odd) == ()
 
 
-def test_chunk_headings_reads_whole_texts(spark, tmp_path):
-    """Headings of a text's own, before and after its first 40 characters, against a plain chunker."""
-    texts = ["a\n## Own # one\nb", "word " * 30 + "\n## Late\nx\n### no\n##\tTabbed \ny\n## Empty\n## Last\n#z", "## Start", "no heading ## here", "", None]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+def test_chunk_headings_reads_whole_texts(spark):
+    """Headings anywhere in a text, and lines that only look like one, against a plain chunker."""
+    texts = ["a\n## Own # one\nb", "word " * 30 + "\n## Late\nx\n### no\n##\tTabbed \ny\n## Empty\n## Last\n#z", "## Start\nq", "no heading ## here", "", None, "x\n## \nstays\n##\n##y\n##  \nblank title"]
     want = []
     for i, t in enumerate(texts):
         sections = [["Preamble", []]]
-        for line in f"intro {i}\n## First part\n{t or ''}.\n### not a boundary\n##  Second\ntail".split("\n"):
-            if line[:3] in ("## ", "##\t"):
+        for line in (t or "").split("\n"):
+            if re.match(r"^##\s+(.+)$", line):
                 sections.append([line[3:].strip(), []])
             else:
                 sections[-1][1].append(line)
-        kept = [name for name, body in sections if "\n".join(body).strip()]
-        want += [(i, k, name, hashlib.md5(f"{name}:{k}".encode()).hexdigest()) for k, name in enumerate(kept)]
-    got = catalog.QUERIES["chunk_headings"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3 * len(texts)
+        kept = [(name, "\n".join(body).strip()) for name, body in sections if "\n".join(body).strip()]
+        want += [(i, k, name, body, hashlib.md5(f"{name}:{k}".encode()).hexdigest()) for k, (name, body) in enumerate(kept)]
+    got = corpus.chunk_headings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(texts)
+
+
+def test_starts_in_long_texts(spark):
+    """Offsets of thousands of matches, code points counted, in time linear in them."""
+    for n in (0, 1, 127, 128, 129, 20_000):
+        text = " é😀 ".join("ab%dé cd%d" % (k, k) for k in range(n))
+        r = spark.createDataFrame([(text,)], "t string").select(C.placed(F.col("t"), "[a-d]+[0-9]+").alias("p")).first().p
+        assert [(x.start, x.stop, x.value) for x in r] == [(m.start(), m.end(), m[0]) for m in re.finditer("[a-d]+[0-9]+", text)]
+
+
+def test_latency_stats_at_the_edges(spark):
+    values = [0.0, -1.5, 3.0, 3.0, 3.0, 1e9, 1e-9, None, -1e6, 7.25]
+    d = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0), ("c", None), (None, 2.0)], "g string, v double")
+    got = {r.g: r for r in metrics.latency_stats(d, "v", ("g",)).collect()}
+    x = sorted(v for v in values if v is not None)
+    at = lambda p: x[int((len(x) - 1) * p)] + (x[min(len(x) - 1, int((len(x) - 1) * p) + 1)] - x[int((len(x) - 1) * p)]) * ((len(x) - 1) * p % 1)
+    assert (got["a"].p50, got["a"].p95, got["a"].p99) == pytest.approx([round(at(p), 2) for p in (0.5, 0.95, 0.99)])
+    assert (got["b"].p50, got["b"].p99, got["c"].n, got["c"].p50, got[None].p95) == (5.0, 5.0, 0, 0.0, 2.0)
+    assert metrics.latency_stats(d, "v").first().n == 11
+
+
+def test_requests(spark):
+    ops = [("m", "put", "x", 0, 1), ("m", "get", None, 10, 2), ("m", "get", None, 20, 3), ("n", "put", "y", 0, 1), ("n", "get", None, 301, 2), ("o", "put", "z", 5, 1), ("o", "put", "w", 5, 2), ("o", "get", None, 305, 3), ("p", "get", None, 1, 1), ("q", "put", "v", 100, 1)]
+    d = spark.createDataFrame(ops, "mapping_id string, op string, payload string, at long, seq int")
+    assert sorted((r.mapping_id, r.seq, r.payload) for r in routing.mapping_reads(d).filter("found").collect()) == [("m", 2, "x"), ("o", 3, "w")]
+    assert [r.mapping_id for r in routing.active_mappings(d, F.lit(400)).collect()] == ["q"] and routing.active_mappings(d, F.lit(401)).count() == 0
+    t = spark.createDataFrame([('{"a" :  [1, 2]}',), ("x  y\nx  y\nz",), ("{broken  ",), (None,)], "t string")
+    assert [r[0] for r in t.select(routing.compressed(F.col("t"), 1)).collect()] == ['{"a":[1,2]}', "x y\nz", "{broken ", None]
+    ips = spark.createDataFrame([("9.255.255.255", 443), ("10.0.0.1", 443), ("172.31.0.1", 443), ("172.32.0.1", 443), ("192.168.3.4", 443), ("8.8.8.8", 80), ("8.8.8.999", 443), ("nowhere", 443), (None, 443)], "ip string, port int")
+    assert [r[0] for r in ips.select(routing.egress_allowed(F.col("ip"), F.col("port"))).collect()] == [True, False, False, True] + [False] * 5
+
+
+def test_sources_and_reports(spark, tmp_path):
+    rows = ['{"text": "a", "label": "PUBLIC"}', "", '{"text": "b", "tier": "INTERNAL", "label": ""}', '{"text": "c"}', '{"text": "a", "expected_label": "REGULATED", "label": "PUBLIC"}']
+    (tmp_path / "in.jsonl").write_text("\n".join(rows))
+    found = tables.read_labelled(spark, str(tmp_path / "in.jsonl"))
+    assert sorted((r.text, r.label) for r in found.collect()) == [("a", "PUBLIC"), ("a", "REGULATED"), ("b", "INTERNAL")]
+    assert tables.read_labelled(spark, str(tmp_path / "in.jsonl"), distinct=True).count() == 2
+    tables.write_jsonl(found, str(tmp_path / "out"))
+    assert tables.read_jsonl(spark, str(tmp_path / "out")).count() == 3
+    (tmp_path / "doc.md").write_text("one\ntwo")
+    assert tables.read_document(spark, str(tmp_path / "doc.md")).first().text == "one\ntwo"
+    old, new = (spark.createDataFrame(x, "id int, v int, t string") for x in ([(1, 1, "a"), (2, 5, "b")], [(1, 2, "c"), (2, 5, "z"), (3, 0, "d")]))
+    assert sorted(tuple(r) for r in tables.latest(old, new, "id", "v").collect()) == [(1, 2, "c"), (2, 5, "z"), (3, 0, "d")]
+    metrics.write_report({"scores": new}, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/json/scores")).count() == 3
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report/markdown/scores")).collect()]
+    assert "| id | v | t |" in lines and "| 1 | 2 | c |" in lines
 
 
 def test_positive_pairs_use_the_whole_group(spark):
