@@ -49,8 +49,8 @@ ship(__name__)
 MU, LAMBDA = 5.0, 2000.0
 #: Texts sampled for hot words and bigrams; a hot one has over 1/HOT of the sample's rows.
 SAMPLE_TEXTS, HOT = 4000, 4096
-#: Tokens of a task that are summed by document at once, and rows of a bucket.
-CHUNK, BUCKET_ROWS = 400_000, 1_500_000
+#: Tokens of a task that are summed by document at once, rows of a bucket, and texts whose sums go together.
+CHUNK, BUCKET_ROWS, GROUP_TEXTS = 400_000, 1_500_000, 20_000
 #: Stand for the start of a text, and for "no word follows", in the place of the word before.
 START, LAST = np.uint64(1), np.uint64(2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
@@ -237,8 +237,8 @@ def _blocks(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
 
 
-def _meet(shared):
-    """Blocks of one bucket to what each of their documents gets: uid, sums of losses, tokens, copies."""
+def _meet(shared, groups: int):
+    """Blocks of one bucket to what each of their documents gets: sums of losses, tokens, copies; packed by group of documents."""
 
     def run(blocks: pa.Table) -> pa.Table:
         hot = Hot(**shared.value)
@@ -283,12 +283,29 @@ def _meet(shared):
                 loss = _log_first(loss, words[side][of_x], np.maximum(words[1], 1)[of_x], hot.tokens[side], hot.tokens[1])
                 after = np.log(words[side] + MU)[of_x]
                 total[side] += np.bincount(doc, np.where(token, n * (loss + after), -after), len(each))
-        t, g, tokens = total
-        return pa.Table.from_arrays([pa.array(each), pa.array(t), pa.array(g), pa.array(tokens.astype(np.int64)), pa.array(copies)], names=["__gw_own", "t", "g", "n", "copies"])
+        group = each.view(np.uint64) % np.uint64(groups)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        rows = [[int(group[k[0]]), each[k].tobytes(), total[:, k].tobytes(), copies[k].tobytes()] for k in np.split(order, cuts) if len(k)]
+        cols = list(zip(*rows, strict=True))
+        return pa.Table.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["group", "uids", "sums", "copies"])
 
     return run
 
 
+def _total(parts: pa.Table) -> pa.Table:
+    """Packed sums of one group of documents, from all buckets, to one row a document."""
+    uids = [np.frombuffer(x.as_py(), np.int64) for x in parts.column("uids")]
+    each = np.unique(np.concatenate(uids))
+    total, copies = np.zeros((3, len(each))), np.zeros(len(each), np.int64)
+    for own, sums, n in zip(uids, parts.column("sums"), parts.column("copies"), strict=True):
+        at = np.searchsorted(each, own)
+        total[:, at] += np.frombuffer(sums.as_py(), float).reshape(3, -1)  # each document once a block
+        copies[at] += np.frombuffer(n.as_py(), np.int32)
+    t, g, tokens = total
+    return pa.Table.from_arrays([pa.array(each), pa.array(t), pa.array(g), pa.array(tokens.astype(np.int64)), pa.array(copies)], names=["__gw_own", "__gw_t", "__gw_g", "__gw_n", "__gw_copies"])
+
+
 def cross_entropy(docs: DataFrame, target: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs (with doc_id, text) and __gw_tokens, __gw_target_loss, __gw_background_loss (nats per token), __gw_score, their difference.
 
@@ -303,8 +320,9 @@ def cross_entropy(docs: DataFrame, target: DataFrame, bucket_rows: int = BUCKET_
     shared = sc.broadcast(vars(found))
     buckets = max(1, -(-int(found.tokens[1]) // bucket_rows))
     blocks = d.mapInArrow(_spread(shared, buckets), _BLOCK)
-    parts = blocks.groupBy("bucket").applyInArrow(_meet(shared), "__gw_own long, t double, g double, n long, copies int")
-    sums = parts.groupBy("__gw_own").agg(F.sum("t").alias("__gw_t"), F.sum("g").alias("__gw_g"), F.sum("n").alias("__gw_n"), F.sum("copies").alias("__gw_copies"))
+    groups = max(1, -(-int(found.texts[1]) // GROUP_TEXTS))
+    parts = blocks.groupBy("bucket").applyInArrow(_meet(shared, groups), "group int, uids binary, sums binary, copies binary")
+    sums = parts.groupBy("group").applyInArrow(_total, "__gw_own long, __gw_t double, __gw_g double, __gw_n long, __gw_copies long")
     met = docs.withColumn("__gw_uid", uid).join(sums, F.col("__gw_uid") == F.col("__gw_own"), "left")
     t, g = F.col("__gw_t") / F.col("__gw_n"), F.col("__gw_g") / F.col("__gw_n")
     tokens = F.coalesce((F.col("__gw_n") / F.col("__gw_copies")).cast("long"), F.lit(0))

@@ -157,6 +157,7 @@ def test_lm(spark, monkeypatch):
     want = sorted(plain_losses(rows, set(range(1, 200, 2))), key=key)
     for hot, bucket_rows in ((lm_scoring.HOT, lm_scoring.BUCKET_ROWS), (20, 300), (1, 97)):
         monkeypatch.setattr(lm_scoring, "HOT", hot)
+        monkeypatch.setattr(lm_scoring, "GROUP_TEXTS", bucket_rows)
         found = lm_scoring.cross_entropy(d, target.union(target), bucket_rows).collect()
         got = sorted(((r.doc_id, r["__gw_tokens"], r["__gw_target_loss"], r["__gw_background_loss"]) for r in found), key=key)
         assert [g[:2] for g in got] == [w[:2] for w in want]
