@@ -46,7 +46,7 @@ from glyphward.llm.common import maybe_broadcast, ship, table
 
 ship(__name__)
 
-MU, LAMBDA = 5.0, 2000.0
+MU, LAMBDA = 100.0, 50.0
 #: Texts sampled for hot words and bigrams; a hot one has over 1/HOT of the sample's rows.
 SAMPLE_TEXTS, HOT = 4000, 4096
 #: Tokens of a task that are summed by document at once, rows of a bucket, and texts whose sums go together.
