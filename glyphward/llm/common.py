@@ -8,6 +8,7 @@ Private columns start with ``__gw_`` and so cannot clash with extra input column
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -39,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="glyphward-"))
     return _own_dir[0]
