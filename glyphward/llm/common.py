@@ -23,6 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that is broadcast; beyond it, operators shuffle instead.
 BROADCAST_ROWS = 2_000_000
 
+#: Rows of a batch that Python gets while a table is written; Spark's own 10,000 whole texts take some 150 MB more of each worker.
+BATCH_ROWS = 1000
+
 _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -55,7 +58,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back; executors may be lost after that."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gw-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -344,8 +344,9 @@ def one_each(d: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("__gw_th", *(c for c in texts.columns if c not in ("__gw_th", "__gw_id")), "text")
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    return [near_features((t.as_py() or b"").lower().split())[1] for t in texts.cast(pa.binary())]
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each text, one text at a time."""
+    return (near_features((t.as_py() or b"").lower().split())[1] for t in texts.cast(pa.binary()))
 
 
 def common_shingles(d: DataFrame, texts: DataFrame) -> np.ndarray:
@@ -450,8 +451,10 @@ def compared(d: DataFrame, grouped: DataFrame, block: int = NEAR_BLOCK) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(sets, pa.binary())], names=["g", "nb", "__gw_th", "sketch"])
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                sets = [s.tobytes() for s in shingle_sets(part.column(3))]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(0), pa.array(sets, pa.binary())], names=["g", "nb", "__gw_th", "sketch"])
 
     return near_links(one_each(d, asked).mapInArrow(run, "g long, nb long, __gw_th long, sketch binary"))
 

@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
         w, b0 = shared.value
         known = w.keys()
         for b in batches:
-            z = [b0 + sum(w[x] for x in sorted(known & distinct_words(t))) for t in b.column(at).to_pylist()]
+            z = [b0 + sum(w[x] for x in sorted(known & distinct_words(t.as_py()))) for t in b.column(at)]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "__gw_score"])
 
