@@ -11,7 +11,8 @@ bucket links are checked exactly and a spanning forest is emitted, never all pai
 a bucket over BLOCK members is split into blocks whose pairs are separate cells, so
 no task holds more than two blocks of it and still every pair is compared.
 Components come from alternating large-star and small-star rounds, each written to
-the shared folder.
+the shared folder, until ONE_TASK edges or fewer are left; one task finishes those. A
+round is some ten shuffles, each with its partitions to be kept in mind by the driver.
 
 Near copies (near_copies, the pipeline's stage) are texts whose sets of five-word
 shingles have a Jaccard similarity of SIMILAR or more. At that similarity fingerprints
@@ -63,6 +64,8 @@ LATE_TEXTS, COMMON, PREFIX_SHARE = 8000, 3, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 #: Up to so many fingerprints, half of them makes a selective enough key; the links are the same either way.
 HALVES = 1 << 27
+#: Up to so many edges (2 MB of them), one task finds the components without rounds; they are the same either way.
+ONE_TASK = 1 << 17
 
 
 def fingerprint(text: bytes) -> int:
@@ -179,21 +182,43 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, parts: int =
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), ascending, and for each the least node reachable."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        i, j = root[i], root[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while np.any((up := root[root]) != root):
+            root = up
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the least node reachable."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_reachable(*np.concatenate(held, axis=1))], names=["node", "root"])
+
     e = materialize(edges)
     before = None
     while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now[0] <= ONE_TASK:
+            return e.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+        if now == before:
+            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        before = now
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("b"), F.col("m").alias("a"))
         e = materialize(small.filter("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
 
 
 def classes(docs: DataFrame) -> DataFrame:

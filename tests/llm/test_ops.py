@@ -352,6 +352,25 @@ def test_simhash_components(spark, block):
     assert all(got.get(int(v), int(v)) == find(int(v)) for v in x)
 
 
+@pytest.mark.parametrize("most", [simhash.ONE_TASK, 60, 0])
+def test_components_of_chains(spark, most, monkeypatch):
+    """Long chains, rings, stars around their largest node and repeated edges; few edges take no round of shuffles, which the driver would have to keep in mind."""
+    monkeypatch.setattr(simhash, "ONE_TASK", most)
+    rng = np.random.default_rng(8)
+    want, edges = {}, []
+    for first, kind in ((-500, "chain"), (1000, "ring"), (2000, "star"), (3000, "pair")):
+        x = first + rng.permutation(2 if kind == "pair" else 40)
+        pairs = [(max(x), v) for v in x if v < max(x)] if kind == "star" else [*zip(x, x[1:]), *([(x[-1], x[0])] if kind == "ring" else [])]
+        edges += [(int(min(p)), int(max(p))) for p in pairs] * (2 if kind == "ring" else 1)
+        want |= {int(v): first for v in x}
+    written = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, real=simhash.materialize: written.append(1) or real(df))
+    rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in rows} == want and len(rows) == len(want)
+    assert len(written) == 1 if most > len(edges) else len(written) > 1
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_documents(docs, empty):
     rows = simhash.classes(docs.select("doc_id", "text")).collect()
     assert len(rows) == docs.count() and simhash.classes(empty.select("doc_id", "text")).count() == 0
