@@ -5,7 +5,7 @@ All are native expressions; offsets are code points, spans half-open.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphward.functions import rules
@@ -66,6 +66,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str | Column, at: str = "_at") -> DataFrame:
+    """keep, and for each element of a computed array a row with its place (at, from 0) and itself (name).
+
+    Over a plain explode Spark sets a filter on the size of the array, which searches each text once more,
+    and lowers it anew for each pattern. The outer form has no such filter; the row that it adds for an
+    empty or null array is dropped by its missing place.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, name)).filter(F.col(at).isNotNull())
+
+
 #: Numbers summed in one run of starts_of; appending to an array copies it, so runs must be short.
 RUN = 128
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphward.functions import columns as C
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -68,7 +70,7 @@ def entity_prf(df: DataFrame, expected: str, detected: str) -> DataFrame:
     """Per type, from arrays of (etype, value): TP/FN per expected entity, FP per distinct detected type not expected."""
     types = F.transform(detected, lambda d: d["etype"])
     values = F.transform(detected, lambda d: F.lower(d["value"]))
-    e = df.select(F.explode(expected).alias("e"), types.alias("t"), values.alias("v")).select(F.col("e.etype").alias("etype"), (F.array_contains("t", F.col("e.etype")) | F.array_contains("v", F.lower("e.value"))).alias("hit"))
+    e = C.exploded(df, F.col(expected), "e", types.alias("t"), values.alias("v")).select(F.col("e.etype").alias("etype"), (F.array_contains("t", F.col("e.etype")) | F.array_contains("v", F.lower("e.value"))).alias("hit"))
     pos = e.groupBy("etype").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fn"))
     fp = df.select(F.explode(F.array_except(F.array_distinct(types), F.transform(expected, lambda x: x["etype"]))).alias("etype")).groupBy("etype").agg(F.count("*").alias("fp"))
     d = pos.join(fp, "etype", "full").na.fill(0, ["tp", "fn", "fp"])

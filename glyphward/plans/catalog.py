@@ -232,7 +232,7 @@ _SPANS = (
 
 @query(_SPANS + " SELECT doc_id, CAST(g - 1 AS INTEGER) AS ord, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, etype FROM kept")
 def dedup_spans(spark, sf_dir):
-    d = privacy.redact(_docs(spark, sf_dir), "t").select("doc_id", F.posexplode("spans").alias("ord", "s"))
+    d = C.exploded(privacy.redact(_docs(spark, sf_dir), "t"), F.col("spans"), "s", "doc_id", at="ord")
     return d.select("doc_id", "ord", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.etype").alias("etype"))
 
 
@@ -247,7 +247,7 @@ def _mailed(spark, sf_dir):
 
 @query(_MAIL_MAP + " SELECT doc_id, v AS value, '<EMAIL_ADDRESS_' || CAST(i AS VARCHAR) || '>' AS placeholder FROM n")
 def pseudonym_numbering(spark, sf_dir):
-    return _mailed(spark, sf_dir).select("doc_id", F.explode("mapping").alias("m")).select("doc_id", "m.value", "m.placeholder")
+    return C.exploded(_mailed(spark, sf_dir), F.col("mapping"), "m", "doc_id").select("doc_id", "m.value", "m.placeholder")
 
 
 @query(
@@ -713,7 +713,7 @@ def strict_recall(spark, sf_dir):
 )
 def corpus_recall(spark, sf_dir):
     e = _entities(spark, sf_dir)
-    return metrics.corpus_recall(e.select(F.explode("want.value").alias("value")), e.select(F.explode("got.value").alias("value")))
+    return metrics.corpus_recall(C.exploded(e, F.col("want.value"), "value"), C.exploded(e, F.col("got.value"), "value"))
 
 
 @query(f"{_SPANS} SELECT count(*) AS n, count(*) AS same, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fidelity FROM counts JOIN d USING (doc_id) WHERE NOT regexp_matches(t, '<[A-Z_]+_[0-9]+>')")

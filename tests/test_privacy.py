@@ -179,3 +179,19 @@ def test_positive_pairs_use_the_whole_group(spark):
     used = {x for p in of("big") for x in p}
     assert len(used) > 700 and used <= set(range(3000)) and len({x // 300 for x in used}) == 10
     assert sorted(got) == sorted(tuple(r) for r in corpus.positive_pairs(d.repartition(5), "label", "vec_id").collect())
+
+
+@pytest.mark.parametrize("name", ["corpus_recall", "dedup_spans", "pseudonym_numbering", "entity_prf"])
+def test_texts_are_searched_once(spark, tmp_path, name):
+    texts = ["mail a@b.com then c@d.org", "call 212-555-0187 now", "", None, "no match"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not [x for x in plan.splitlines() if x.lstrip(" :+-|").startswith("Filter") and "RLIKE" in x]
+    assert d.count() > 0
+
+
+def test_exploded(spark):
+    d = spark.createDataFrame([(1, ["a", None]), (2, []), (3, None)], "id int, xs array<string>")
+    found = C.exploded(d, F.col("xs"), "x", "id", at="k").collect()
+    assert sorted((r.id, r.k) for r in found) == [(1, 0), (1, 1)] and {r.x for r in found} == {"a", None}
